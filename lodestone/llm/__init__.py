@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, licenses, matroska, packing, secrets, urls
+from . import chat, decontaminate, language, licenses, matroska, packing, secrets, similarity, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         secrets.op2_secret_scan,
         licenses.op3_license_scan,
         decontaminate.op4_decontaminate,
+        suffixes.op5_suffix_dedup,
+        similarity.op6_jaccard_join,
         matroska.op7_matroska,
         chat.op8_chat_format,
         urls.op9_url_filter,
