@@ -5,7 +5,7 @@ with a sampled token in common meet in its bucket.  A bucket above `split` sets
 each set goes on to the buckets of further sampled tokens, of which sets that are similar enough share one or more on average,
 and so on.  Small buckets, and large ones of mostly similar sets, are compared by brute force, in blocks of bounded size;
 each pair is compared in full, on all its tokens, in the first bucket that it shares.  Two sets at the threshold share no root
-with a chance of exp(-0.8 * roots), so roots takes the place of repeated runs: 10 roots reach a recall of 0.9996.
+with a chance of exp(-0.8 * roots), so roots takes the place of repeated runs: 10 roots reach a recall of 0.999.
 
 What leaves a bucket are counts and a star of links for each connected part, never its pairs.  Buckets with the same members
 are compared once.  Connected components of the links (alternating large and small stars) are the classes.
@@ -174,8 +174,14 @@ def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(sig, other, n_texts, n_links), of which a sig has several rows: star edges, and counts that add up."""
     named = sets.where("sig is not null")
     counts = named.groupBy("sig").agg(F.count("*").alias("copies"))
-    paths = cut(named.select("sig", F.explode("roots").alias("path")).distinct().select("path", "sig"), "paths")
-    met = cut(paths.join(paths.groupBy("path").count().where("count > 1").select("path"), "path", "left_semi"), "met")
+    met = cut(named.select("sig", F.size("roots").alias("r"), F.explode("roots").alias("path")).distinct(), "paths")
+    # A set finds four fifths of its sampled tokens, on average, in any set that is similar enough; sets of which not three
+    # tenths meet any other set have none (the chance to lose one is below that of sharing no root).  Twice, as sets leave.
+    for _ in range(2):
+        held = met.join(met.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").select("path"), "path", "left_semi")
+        enough = held.groupBy("sig").agg(F.first("r").alias("r"), F.count("*").alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("r") * 0.3)))
+        met = cut(held.join(enough.select("sig"), "sig", "left_semi"), "met")
+    met = met.select("path", "sig")
     # One row of each set that meets another, with its tokens.
     wanted = met.select("sig").distinct()
     tokens = cut(named.join(wanted, "sig", "left_semi").select("sig", "n", "tokens").dropDuplicates(["sig"]).join(counts, "sig"), "tokens")
