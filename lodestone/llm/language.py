@@ -128,8 +128,8 @@ def _predicted(texts: list[str | None], grams: Grams, langs: list[str], matrix:
 def predict(docs: DataFrame, known: dict[str, np.ndarray], seed: int = SEED) -> DataFrame:
     """docs with lang_pred and score."""
     langs, column = list(known), docs.columns.index("text")
-    matrix = np.array([v / max(np.linalg.norm(v), 1e-12) for v in known.values()]).reshape(len(langs), -1)
-    dim = matrix.shape[1] or DIM
+    matrix = np.array([v / max(np.linalg.norm(v), 1e-12) for v in known.values()]) if known else np.zeros((0, DIM))
+    dim = matrix.shape[1]
     schema = docs.selectExpr("*", "'' lang_pred", "0D score").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
