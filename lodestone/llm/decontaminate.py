@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, utf8
 
 WINDOW = 10
-SHARD = 24 << 20
+SHARD = 6 << 20
 SEGMENT = 1 << 20
 
 # Word bytes after lower-casing A-Z: digits, letters and all of 128 and above.
