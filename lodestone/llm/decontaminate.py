@@ -52,6 +52,7 @@ class Words:
 
     def __init__(self, seed: int = 11):
         self.up, self.down, self.random = _powers(seed)
+        self.random[~IS_WORD] = 0
 
     def of(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and hash of each word, and the number of words before each text (n + 1)."""
@@ -65,22 +66,21 @@ class Words:
         ends[inner - 1] = word[inner - 1]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         h = np.zeros(len(s), np.uint64)
-        value = np.where(word, self.random[low], 0).astype(np.uint64)
         at = 0
         while at < len(s):  # as many whole words as a segment holds; a longer word is hashed in parts
             stop = int(np.searchsorted(e, s[at] + SEGMENT, side="right"))
             if stop <= at:
-                h[at] = self._long(value[s[at] : e[at]])
+                h[at] = self._long(low[s[at] : e[at]])
                 at += 1
                 continue
             base = s[at]
-            part = value[base : e[stop - 1]] * self.up[: e[stop - 1] - base]
+            part = self.random[low[base : e[stop - 1]]] * self.up[: e[stop - 1] - base]
             h[at:stop] = np.add.reduceat(part, s[at:stop] - base) * self.down[s[at:stop] - base]
             at = stop
         return s, e, h, np.searchsorted(s, offsets)
 
-    def _long(self, value: np.ndarray) -> np.uint64:
-        return np.uint64(sum(int((value[i : i + SEGMENT] * self.up[: len(value[i : i + SEGMENT])]).sum(dtype=np.uint64)) * pow(int(self.up[1]), i, 1 << 64) for i in range(0, len(value), SEGMENT)) & (1 << 64) - 1)
+    def _long(self, low: np.ndarray) -> np.uint64:
+        return np.uint64(sum(int((self.random[low[i : i + SEGMENT]] * self.up[: len(low[i : i + SEGMENT])]).sum(dtype=np.uint64)) * pow(int(self.up[1]), i, 1 << 64) for i in range(0, len(low), SEGMENT)) & (1 << 64) - 1)
 
 
 @dataclass
