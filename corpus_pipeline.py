@@ -9,20 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, language, packing, secrets
+from lodestone.llm import decontaminate, language, packing, secrets, similarity
 from lodestone.llm.common import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language; rejected are those without any letter."""
-    known = language.profiles(docs)
-    return language.predict(docs, known).where("lang_pred <> 'und'").select(docs.columns)
+    return language.recognised(docs, language.profiles(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
-    from lodestone.llm import similarity
-
     return similarity.representatives(docs)
 
 

@@ -265,7 +265,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents without any test window, with all their columns; no shuffle."""
-    return matches(docs, benchmark, **how).where(F.size("__hits") == 0).select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    names[docs.columns.index("text")] = "text"
+    return matches(docs.toDF(*names), benchmark, **how).where(F.size("__hits") == 0).select(names).toDF(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ a-z have their own, all others the slot of their code point modulo the rest.
 
 Rows: null, empty or letterless texts are "und" with score 0, as are all texts where there is nothing to learn from; a null
 id counts as held in; equal cosines go to the language first in order; repeated rows are counted and predicted each; other
-columns are ignored.
+columns are ignored, but for lang_pred and score, which the results replace; recognised() keeps even these.
 """
 
 from __future__ import annotations
@@ -127,6 +127,7 @@ def _predicted(texts: list[str | None], grams: Grams, langs: list[str], matrix:
 
 def predict(docs: DataFrame, known: dict[str, np.ndarray], seed: int = SEED) -> DataFrame:
     """docs with lang_pred and score."""
+    docs = docs.drop("lang_pred", "score")
     langs, column = list(known), docs.columns.index("text")
     matrix = np.array([v / max(np.linalg.norm(v), 1e-12) for v in known.values()]) if known else np.zeros((0, DIM))
     dim = matrix.shape[1]
@@ -141,6 +142,13 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], seed: int = SEED) ->
     return docs.mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, known: dict[str, np.ndarray], seed: int = SEED) -> DataFrame:
+    """The documents with a predicted language, with all their columns as they are."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    names[docs.columns.index("text")] = "text"
+    return predict(docs.toDF(*names), known, seed).where("lang_pred <> 'und'").select(names).toDF(*docs.columns)
+
+
 def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 

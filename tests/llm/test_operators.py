@@ -188,6 +188,17 @@ def test_similarity(spark, docs, split):
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {r.class_id for r in got.values()}
 
 
+def test_stages_keep_clashing_columns(spark, odd):
+    import corpus_pipeline
+
+    rows = odd.selectExpr("*", "'x' lang_pred", "1 score", "'h' __hits", "'k' key", "2 gone_id", "'c' class_id", "length(text) n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, SF)
+        assert got.columns == rows.columns and {r.lang_pred for r in got.select("lang_pred").collect()} == {"x"}
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() >= len(ODD)
+    assert "x" not in {r.lang_pred for r in language.predict(rows, language.profiles(rows)).collect()}
+
+
 def test_similarity_odd(odd):
     got = similarity.classes(odd).collect()
     assert len(got) == len(ODD) and similarity.classes(odd.limit(0)).count() == 0
