@@ -22,8 +22,8 @@ def _question(spark: SparkSession) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set: benchmark items with an id divisible by 5."""
-    return table(spark, d, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "text")
+    """The stated query set: all benchmark items."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _bm25_sql(tokens: str, queries: str, where: str = "") -> str:
@@ -41,7 +41,7 @@ scored AS (SELECT query_id, doc_id, sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75
 
 PLAIN, CODES = r"regexp_extract_all(replace(lower($), 'ß', 'ss'), '[\p{L}\p{N}]+')", r"regexp_extract_all(lower($), '[À-ỹA-Za-z0-9]+(?:[/\-\.][À-ỹA-Za-z0-9]+)*')"
 ONE = f"SELECT 0::BIGINT AS query_id, '{QUESTION}' AS text"
-FIFTH = "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 5 = 0"
+ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
 TOP = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored) WHERE rank <= {k}"
 
 
@@ -57,7 +57,7 @@ def t1_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _top(scored.select(F.lit(0).cast("long").alias("query_id"), "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")), 10)
 
 
-@query(f"WITH {_bm25_sql(CODES, FIFTH)} " + TOP.format(k=10).replace("FROM scored", "FROM scored WHERE round(score, 6) > 0"))
+@query(f"WITH {_bm25_sql(CODES, ITEMS)} " + TOP.format(k=10).replace("FROM scored", "FROM scored WHERE round(score, 6) > 0"))
 def t2_bm25_topk_codes(spark: SparkSession, d: str) -> DataFrame:
     """Lexical top ten of several questions, with codes kept whole and zero scores dropped."""
     return _top(search.bm25(_corpus(spark, d), _items(spark, d), X.tokens_codes).where(F.round("score", 6) > 0), 10)
@@ -84,7 +84,7 @@ def _branches(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"plain": _top(search.bm25(corpus, asked), 20), "codes": _top(search.bm25(corpus, asked, X.tokens_codes), 10)}
 
 
-B2 = f"WITH a AS (WITH {_bm25_sql(PLAIN, FIFTH)} {TOP.format(k=20)}), b AS (WITH {_bm25_sql(CODES, FIFTH)} {TOP.format(k=10)}), u AS (SELECT query_id, doc_id, rank AS plain_rank, NULL::BIGINT AS codes_rank FROM a UNION ALL SELECT query_id, doc_id, NULL, rank FROM b), "
+B2 = f"WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=20)}), b AS (WITH {_bm25_sql(CODES, ITEMS)} {TOP.format(k=10)}), u AS (SELECT query_id, doc_id, rank AS plain_rank, NULL::BIGINT AS codes_rank FROM a UNION ALL SELECT query_id, doc_id, NULL, rank FROM b), "
 FUSED = "m AS (SELECT query_id, doc_id, max(plain_rank) AS plain_rank, max(codes_rank) AS codes_rank FROM u GROUP BY ALL), f AS (SELECT *, round(coalesce({x}::DOUBLE / (60 + plain_rank), 0) + coalesce({y}::DOUBLE / (60 + codes_rank), 0), 9) AS score FROM m), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(coalesce(plain_rank, 1000000000), coalesce(codes_rank, 1000000000)), doc_id) AS fused_rank FROM f)"
 
 
@@ -98,7 +98,7 @@ def a6_rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
     return search.rrf(_branches(spark, d), weights={"plain": 0.5, "codes": 2.0})
 
 
-@query(f"""WITH a AS (WITH {_bm25_sql(PLAIN, FIFTH)} {TOP.format(k=12)}), w AS (SELECT query_id, rank, doc_id, CASE WHEN query_id = 0 THEN 1.5 ELSE 1.0 END AS w FROM a),
+@query(f"""WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=12)}), w AS (SELECT query_id, rank, doc_id, CASE WHEN query_id = 0 THEN 1.5 ELSE 1.0 END AS w FROM a),
 g AS (SELECT doc_id, round(sum(w::DOUBLE / (60 + rank)), 9) AS score, count(DISTINCT query_id) AS support, min(rank) AS best_rank, string_agg(query_id::VARCHAR, ',' ORDER BY query_id::VARCHAR) AS supports FROM w GROUP BY doc_id)
 SELECT *, row_number() OVER (ORDER BY score DESC, support DESC, best_rank, doc_id) AS rank FROM g""")
 def a8_rrf_cross_query(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def f6_gate_by_mode(spark: SparkSession, d: str) -> DataFrame:
     return search.gate(hits, "semantic", 0.8, 0.5)
 
 
-@query(f"""WITH a AS (WITH {_bm25_sql(PLAIN, FIFTH)} {TOP.format(k=20)}), r AS (SELECT a.*, round(1 / (1 + exp(-(n_chars % 7 - 3)::DOUBLE)), 6) AS rerank_score FROM a JOIN documents USING (doc_id)),
+@query(f"""WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=20)}), r AS (SELECT a.*, round(1 / (1 + exp(-(n_chars % 7 - 3)::DOUBLE)), 6) AS rerank_score FROM a JOIN documents USING (doc_id)),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, doc_id) AS new_rank FROM r)
 SELECT query_id, doc_id, score, rank, rerank_score, new_rank, rank - new_rank AS change FROM z WHERE new_rank <= 5""")
 def t8_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def _graded(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(docs.withColumnRenamed("text", "body"), "doc_id").join(items, "query_id").select("query_id", "doc_id", "rank", F.contains("body", F.col("text")).alias("relevant"))
 
 
-GRADED = f"WITH a AS (WITH {_bm25_sql(PLAIN, FIFTH)} {TOP.format(k=10)}), g AS (SELECT a.query_id, a.doc_id, a.rank, contains(d.text, b.text) AS relevant FROM a JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = a.query_id), "
+GRADED = f"WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=10)}), g AS (SELECT a.query_id, a.doc_id, a.rank, contains(d.text, b.text) AS relevant FROM a JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = a.query_id), "
 
 
 @query(GRADED + """f AS (SELECT query_id, query_id % 2 AS kind, min(CASE WHEN relevant THEN rank END) AS first FROM g GROUP BY ALL)
@@ -159,7 +159,7 @@ def a15_eval_hit_mrr(spark: SparkSession, d: str) -> DataFrame:
     return first.rollup("kind").agg(F.count("*").alias("n"), hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr")).withColumn("kind", F.coalesce(F.col("kind").cast("string"), F.lit("all")))
 
 
-@query(GRADED + """r AS (SELECT b.item_id AS query_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id % 5 = 0 GROUP BY ALL),
+@query(GRADED + """r AS (SELECT b.item_id AS query_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
 h AS (SELECT query_id, count(*) FILTER (relevant) AS k, sum(CASE WHEN relevant THEN 1 / log2(rank + 1) END) AS dcg, min(CASE WHEN relevant THEN rank END) AS first FROM g GROUP BY ALL)
 SELECT r.query_id, r.n AS n_relevant, round(coalesce(k, 0)::DOUBLE / r.n, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(r.n, 10) + 1)]), 6) AS ndcg FROM r LEFT JOIN h USING (query_id)""")
 def a16_eval_recall_ndcg(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ def o3_candidate_overlap(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("query_id").agg(F.count("*").alias("in_any"), F.count_if(F.col("plain_rank").isNotNull() & F.col("codes_rank").isNotNull()).alias("in_both"), F.count_if(F.col("codes_rank").isNull()).alias("only_plain"), F.count_if(F.col("plain_rank").isNull()).alias("only_codes"))
 
 
-@query(f"WITH a AS (WITH {_bm25_sql(PLAIN, FIFTH)} {TOP.format(k=5)}) SELECT doc_id, max(CASE WHEN query_id = 0 THEN rank END) AS q0, max(CASE WHEN query_id = 5 THEN rank END) AS q5, max(CASE WHEN query_id = 10 THEN rank END) AS q10 FROM a WHERE query_id IN (0, 5, 10) GROUP BY doc_id")
+@query(f"WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=5)}) SELECT doc_id, max(CASE WHEN query_id = 0 THEN rank END) AS q0, max(CASE WHEN query_id = 5 THEN rank END) AS q5, max(CASE WHEN query_id = 10 THEN rank END) AS q10 FROM a WHERE query_id IN (0, 5, 10) GROUP BY doc_id")
 def a30_query_child_matrix(spark: SparkSession, d: str) -> DataFrame:
     hits = _top(search.bm25(_corpus(spark, d), _items(spark, d)), 5).where("query_id in (0, 5, 10)")
     return hits.groupBy("doc_id").pivot("query_id", [0, 5, 10]).agg(F.max("rank")).toDF("doc_id", "q0", "q5", "q10")
@@ -228,7 +228,7 @@ def f8_rbac_prefilter_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _top(search.bm25(seen.select("doc_id", "text"), _question(spark)), 10)
 
 
-@query(f"""WITH a AS (WITH {_bm25_sql(PLAIN, FIFTH)} {TOP.format(k=10)}), t AS (SELECT query_id, doc_id AS target FROM a WHERE rank = 1),
+@query(f"""WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=10)}), t AS (SELECT query_id, doc_id AS target FROM a WHERE rank = 1),
 u AS (SELECT query_id, doc_id, (label = 'General') AS open FROM a JOIN (SELECT doc_id, {LABEL} AS label FROM documents) USING (doc_id))
 SELECT t.query_id AS case_id, count(*) FILTER (u.doc_id = target AND open) AS leaks, count(*) FILTER (u.doc_id = target) AS found, CASE WHEN count(*) FILTER (u.doc_id = target AND open) > 0 THEN 'FAIL' WHEN count(*) FILTER (u.doc_id = target) = 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM t JOIN u USING (query_id) GROUP BY ALL""")
 def a28_rbac_leak_audit(spark: SparkSession, d: str) -> DataFrame:
