@@ -11,6 +11,7 @@ ignored; no documents, no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,9 @@ DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class Ids(dict):
     """Little-endian ids of each stretch between blanks, encoded where first met; emptied when it holds too many.
 
-    The vocabulary's pattern never joins text across a single blank: a blank begins the stretch after it.  So a text without
-    two blanks in a row is the sum of its stretches; others are encoded whole.
+    The vocabulary's pattern joins text across a blank only where white space stands on both sides of it, or before it at the
+    text's end; elsewhere a blank begins the stretch after it.  So a text without such a blank is the sum of its stretches;
+    others are encoded whole.  A special token's name in a text is that token, and parts the text, as the tokenizers library has it.
     """
 
     def __init__(self, vocabulary: str, most: int = 300_000):
@@ -40,8 +42,10 @@ class Ids(dict):
 
         from tokenizers import Tokenizer
 
-        ranks = _ranks(Tokenizer.from_file(vocabulary))
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tokenizer = Tokenizer.from_file(vocabulary)
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=_ranks(tokenizer), special_tokens={})
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.names = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.most = most
 
     def encode(self, text: str) -> bytes:
@@ -56,7 +60,12 @@ class Ids(dict):
         return out
 
     def of(self, text: str) -> bytes:
-        if "  " in text or not text:
+        if self.names and self.names.search(text):
+            return b"".join(self.special[x] if i % 2 else self._plain(x) for i, x in enumerate(self.names.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        if not text or JOINING.search(text):
             return self.encode(text)
         head, *rest = text.split(" ")
         return (self.encode(head) if head else b"") + b"".join(map(self.__getitem__, [" " + x for x in rest]))
@@ -64,6 +73,8 @@ class Ids(dict):
 
 # Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# A blank that the pattern may join with white space before it.
+JOINING = re.compile(r"\s (?:\s|\Z)")
 
 
 def _ranks(tokenizer) -> dict[bytes, int]:
