@@ -36,6 +36,7 @@ SPLIT = 256
 BLOCK = 2048
 ALIKE = 0.25  # above this chance that two sets of a bucket meet again, splitting gains nothing
 NUM, DEN = 4, 5  # the threshold, 0.8
+LEAST = 4  # a set of fewer shingles is similar enough to no other: 3 / 4 is below the threshold
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -174,7 +175,7 @@ def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(sig, other, n_texts, n_links), of which a sig has several rows: star edges, and counts that add up."""
     named = sets.where("sig is not null")
     counts = named.groupBy("sig").agg(F.count("*").alias("copies"))
-    met = cut(named.select("sig", F.size("roots").alias("r"), F.explode("roots").alias("path")).distinct(), "paths")
+    met = cut(named.where(F.col("n") >= LEAST).select("sig", F.size("roots").alias("r"), F.explode("roots").alias("path")).distinct(), "paths")
     # A set finds four fifths of its sampled tokens, on average, in any set that is similar enough; sets of which not three
     # tenths meet any other set have none (the chance to lose one is below that of sharing no root).  Twice, as sets leave.
     for _ in range(2):
