@@ -31,6 +31,8 @@ EBML, DOCTYPE, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067,
 TRACKS, TRACK, NUMBER, UID, KIND, CODEC, AUDIO, HZ, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, POINT, CUETIME, PLACES, CUETRACK, CUEAT = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+SEEK, CHAPTERS, TAGS, ATTACHED = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
+BESIDE = {SEEK, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHED}
 PARENTS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, POINT, PLACES}
 NANOS = 1_000_000_000 // RATE  # one tick is one sample
 
@@ -114,17 +116,28 @@ def _cluster(parts: list, cues: list, at: int, time: int, blocks: list[bytes]) -
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """Id, start and end of each element's body, parents before their children."""
-    while at < end:
-        name, at = read_vint(data, at, keep=True)
-        size, at = read_vint(data, at)
-        stop = end if size < 0 else at + size  # unknown size: to the parent's end; the next cluster is then found as a child
-        if stop > end:
+    """Id, start and end of each element's body, parents before their children.  A segment of unknown size reaches to the end of
+    the file, a cluster of unknown size to the next element that stands beside clusters."""
+    open_: list[tuple[int, int, bool]] = []  # id, end and whether that is known, of the parents of `at`
+    while True:
+        while open_ and at >= open_[-1][1]:
+            open_.pop()
+        if at >= end:
+            return
+        name, body = read_vint(data, at, keep=True)
+        if open_ and not open_[-1][2] and open_[-1][0] == CLUSTER and name in BESIDE:
+            open_.pop()
+        limit = open_[-1][1] if open_ else end
+        size, body = read_vint(data, body)
+        stop = limit if size < 0 else body + size
+        if stop > limit:
             raise ValueError(f"element {name:x} passes the end of its parent")
-        yield name, at, stop
+        yield name, body, stop
         if name in PARENTS:
-            yield from elements(data, at, stop)
-        at = stop
+            open_.append((name, stop, size >= 0))
+            at = body
+        else:
+            at = stop
 
 
 def unlaced(data: bytes, at: int, end: int, how: int) -> list[tuple[int, int]]:
