@@ -11,6 +11,7 @@ bears no loss, and is formatted all the same; other columns are ignored.  No row
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +62,8 @@ def formatted(turns: DataFrame, template: Template = Template()) -> DataFrame:
 def read_back(out: DataFrame, template: Template = Template()) -> DataFrame:
     """The contract's digests, all parsed from the formatted text and the flagged segments."""
     t = template
-    pieces = F.transform(F.filter(F.split("formatted", t.open), lambda x: F.length(x) > 0), lambda x: F.substring_index(x, t.close, 1))
-    parsed = F.transform(pieces, lambda x: F.struct(unescaped(F.substring_index(x, t.after_role, 1), True).alias("role"), unescaped(F.substring(x, F.locate(t.after_role, x) + 1, F.length(x))).alias("text")))
+    pieces = F.transform(F.filter(F.split("formatted", re.escape(t.open)), lambda x: F.length(x) > 0), lambda x: F.substring_index(x, t.close, 1))
+    parsed = F.transform(pieces, lambda x: F.struct(unescaped(F.substring_index(x, t.after_role, 1), True).alias("role"), unescaped(F.substring(x, F.locate(t.after_role, x) + len(t.after_role), F.length(x))).alias("text")))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescaped(s.text)), "")
     kept = out.select("conv_id", parsed.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "state")
     return kept.select(

@@ -226,6 +226,14 @@ def test_matroska_frames_of_any_size():
         matroska.packets(matroska.write(matroska.pad(b"x"))[:-9])
 
 
+def test_matroska_clusters_of_unknown_size():
+    m, n = matroska, 1500
+    live = b"".join(bytes.fromhex("1f43b67501ffffffffffffff") + m.number(m.TIME, 10 * i) + m.element(m.SIMPLE, b"\x81\0\0\x80" + bytes([i % 256])) for i in range(n))
+    media = m.element(m.EBML, b"") + bytes.fromhex("1853806701ffffffffffffff") + live + m.element(m.CUES, m.element(m.POINT, m.number(m.CUETIME, 7) + m.element(m.PLACES, m.number(m.CUEAT, 0))))
+    found, cues = m.packets(media)
+    assert [(p.time, media[p.start : p.end]) for p in found] == [(10 * i, bytes([i % 256])) for i in range(n)] and len(cues) == 1
+
+
 def test_matroska_odd(odd):
     got = matroska.media_digests(odd).collect()
     want = sorted(hashlib.sha256(matroska.pad((t or "").encode())).hexdigest() for _, t, _ in ODD)
@@ -242,6 +250,19 @@ def test_chat(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_template_with_pattern_signs(spark):
+    t = chat.Template(open="<|(turn*|>", after_role=" ::\n", close="<|end|>\n")
+    rows = [(1, 0, "user", "a <|(turn*|> b"), (1, 1, "assistant", "c ::\n<|end|>\n")]
+    got = chat.read_back(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t), t).first()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in rows).encode()).hexdigest() and got.loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest()
+
+
+def test_short_sets_link_only_to_equal_ones(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "a b c"), (4, "a b d"), (5, "a, B c"), (6, "k l m n o p q"), (7, "k l m n o p q r")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similarity.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (3, 1), 6: (6, 0), 7: (7, 0)}
+
+
 def test_urls(spark):
     day = "cast('{}' as date)".format
     entries = spark.sql(f"select * from values ('a.com', {day('2020-01-01')}, 'add', 'block'), ('a.com', {day('2020-02-01')}, 'remove', 'block'), ('a.com/x/', {day('2020-01-15')}, 'add', 'allow'), (null, {day('2020-01-01')}, 'add', 'block') as t(key, day, action, verdict)")
