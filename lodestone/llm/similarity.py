@@ -2,10 +2,14 @@
 
 Texts with equal shingle sets form one set.  Each set samples about `roots` of its tokens by a hash that all sets share; sets
 with a sampled token in common meet in its bucket.  A bucket above `split` sets whose sets are mostly unlike is split again:
-each set goes on to the buckets of further sampled tokens, of which sets that are similar enough share one or more on average,
+each set goes on to the buckets of further sampled tokens, of which sets that are similar enough share two or more on average,
 and so on.  Small buckets, and large ones of mostly similar sets, are compared by brute force, in blocks of bounded size;
-each pair is compared in full, on all its tokens, in the first bucket that it shares.  Two sets at the threshold share no root
-with a chance of exp(-0.8 * roots), so roots takes the place of repeated runs: 10 roots reach a recall of 0.999.
+each pair is compared in full, on all its tokens, in the first bucket that it shares.
+
+Recall counts the splits.  Two sets at the threshold share 0.8 * roots roots and 0.8 * FANOUT children of a node on average, at
+the least.  The chance q that no path below a shared node stays shared, however deep the splits go, solves
+q = exp(0.8 * FANOUT * (q - 1)); at a fan-out of 1.25 it is 1, at 2.5 it is 0.203.  The pair never meets with a chance of
+exp(-0.8 * roots * (1 - q)): 12 roots reach a recall of 0.999 at any depth, in place of repeated runs.
 
 What leaves a bucket are counts and a star of links for each connected part, never its pairs.  Buckets with the same members
 are compared once.  Connected components of the links (alternating large and small stars) are the classes.
@@ -30,8 +34,8 @@ from .common import batch, cut, table, utf8
 from .decontaminate import Words
 
 SHINGLE = 5
-ROOTS = 10
-FANOUT = 1.25  # 1 / 0.8: what similar sets share of the next tokens is one on average
+ROOTS = 12
+FANOUT = 2.5  # 2 / 0.8: similar sets share two of the next tokens on average, so that splits don't wear their paths out
 SPLIT = 256
 BLOCK = 2048
 ALIKE = 0.25  # above this chance that two sets of a bucket meet again, splitting gains nothing

@@ -188,6 +188,29 @@ def test_similarity(spark, docs, split):
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {r.class_id for r in got.values()}
 
 
+def test_paths_outlast_splits():
+    # Pairs at the threshold: the smaller set lies in the larger, every bucket is split.
+    met, pairs = np.zeros(7, int), 1000
+    tokens = np.random.default_rng(5).integers(0, 2**32, (pairs, 100)).astype(np.uint64)
+    for a in tokens:
+        b, shared = a[:80], [0]
+        for depth in range(7):
+            n = similarity.FANOUT if depth else similarity.ROOTS
+            shared = [p for x in shared for p in np.intersect1d(similarity.sampled(a, x, n, 100), similarity.sampled(b, x, n, 80)).tolist()][:8]
+            met[depth] += bool(shared)
+    assert (met >= 0.998 * pairs).all()
+
+
+def test_similarity_of_frequent_passages(spark):
+    # Each passage stands in about 80 texts, each text has one copy cut off near the threshold, and buckets are split to the last.
+    g = np.random.default_rng(3)
+    passages = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(250)]
+    whole = [" ".join(passages[j] for j in g.permutation(250)[:10]).split() for _ in range(1000)]
+    rows = [(2 * i + k, " ".join(w[: 200 - 38 * k])) for i, w in enumerate(whole) for k in (0, 1)]
+    got = {r.doc_id: r for r in similarity.classes(spark.createDataFrame(rows, "doc_id long, text string"), split=2).collect()}
+    assert sum(got[2 * i].class_id == got[2 * i + 1].class_id and got[2 * i].n_links == 1 for i in range(1000)) >= 997
+
+
 def test_stages_keep_clashing_columns(spark, odd):
     import corpus_pipeline
 
