@@ -193,6 +193,14 @@ def a30_query_child_matrix(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("doc_id").pivot("query_id", [0, 5, 10]).agg(F.max("rank")).toDF("doc_id", "q0", "q5", "q10")
 
 
+@query(f"WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=5)}) SELECT doc_id, count(*) AS n_queries, string_agg(query_id || ':' || rank, ',' ORDER BY query_id) AS ranks FROM a GROUP BY doc_id")
+def a30_query_child_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole matrix: each document that any item finds, with the items that find it as item:rank.  a30_query_child_matrix has three items' columns."""
+    hits = _top(search.bm25(_corpus(spark, d), _items(spark, d)), 5)
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("query_id", "rank"))), lambda x: F.concat_ws(":", x["query_id"].cast("string"), x["rank"].cast("string")))
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_queries"), F.array_join(cells, ",").alias("ranks"))
+
+
 PREFIXES, WORDS = {"HR": "src1"}, {"HR": ["password"], "Risk": ["token", "secret"]}
 ROLES = {"HR": ["Admin", "HR_Manager"], "Risk": ["Admin", "Risk_Officer"], "General": ["Admin", "HR_Manager", "Risk_Officer", "Employee"]}
 

@@ -39,6 +39,12 @@ def test_context_budget_is_greedy(spark):
     assert got == {1: (100, "1,3,4"), 2: (500, "1")}
 
 
+def test_matrix_has_all_items(spark, duck):
+    found = registry.queries()["a30_query_child_matrix_all"](spark, SF).collect()
+    items = {int(c.split(":")[0]) for r in found for c in r.ranks.split(",")}
+    assert items == {i for i, in duck.sql("select item_id from benchmark").fetchall()} and all(r.n_queries == len(r.ranks.split(",")) for r in found)
+
+
 def test_packing_closes_windows(spark):
     from lodestone.operators.chunking import packed
 
