@@ -75,11 +75,18 @@ def x20_extract_codes(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS form FROM documents), g AS (SELECT lower(form) AS key, form, count(*) AS n, min(doc_id) AS first FROM m GROUP BY ALL)
 SELECT key, arg_max(form, (n, form)) AS canonical, string_agg(form, ' | ' ORDER BY form) AS forms, sum(n)::BIGINT AS mentions, min(first) AS first_doc FROM g GROUP BY key HAVING sum(n) > 5""")
 def a14_entity_canonicalise(spark: SparkSession, d: str) -> DataFrame:
-    """Capitalised words by key: the most frequent form, all forms, mentions and first document."""
+    """Capitalised words by key with more than five mentions: the most frequent form, all forms, mentions and first document."""
+    return a14_entity_canonicalise_all(spark, d).where("mentions > 5")
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS form FROM documents), g AS (SELECT lower(form) AS key, form, count(*) AS n, min(doc_id) AS first FROM m GROUP BY ALL)
+SELECT key, arg_max(form, (n, form)) AS canonical, string_agg(form, ' | ' ORDER BY form) AS forms, sum(n)::BIGINT AS mentions, min(first) AS first_doc FROM g GROUP BY key""")
+def a14_entity_canonicalise_all(spark: SparkSession, d: str) -> DataFrame:
+    """Capitalised words by key, every key: the most frequent form, all forms, mentions and first document."""
     m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{5,}"), 0)).alias("form"))
     g = m.groupBy("form").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     out = g.groupBy(F.lower("form").alias("key")).agg(F.max(F.struct("n", "form")).alias("best"), F.array_join(F.array_sort(F.collect_set("form")), " | ").alias("forms"), F.sum("n").alias("mentions"), F.min("first").alias("first_doc"))
-    return out.where("mentions > 5").select("key", F.col("best.form").alias("canonical"), "forms", "mentions", "first_doc")
+    return out.select("key", F.col("best.form").alias("canonical"), "forms", "mentions", "first_doc")
 
 
 @query("SELECT c AS column_name, count(*) FILTER (v IS NULL) AS nulls, count(*) FILTER (v = '') AS empties, count(DISTINCT v) AS different FROM (SELECT 'text' AS c, text::VARCHAR AS v FROM documents UNION ALL SELECT 'lang' AS c, lang::VARCHAR AS v FROM documents UNION ALL SELECT 'source' AS c, source::VARCHAR AS v FROM documents UNION ALL SELECT 'n_chars' AS c, n_chars::VARCHAR AS v FROM documents) GROUP BY c")

@@ -45,6 +45,11 @@ def test_matrix_has_all_items(spark, duck):
     assert items == {i for i, in duck.sql("select item_id from benchmark").fetchall()} and all(r.n_queries == len(r.ranks.split(",")) for r in found)
 
 
+def test_rare_entities_stay(spark):
+    found = registry.queries()["a14_entity_canonicalise_all"](spark, SF).collect()
+    assert len({r.key for r in found}) == len(found) and any(r.mentions <= 5 for r in found)
+
+
 def test_packing_closes_windows(spark):
     from lodestone.operators.chunking import packed
 
