@@ -1,18 +1,20 @@
 """Similarity join on sets of 5-word shingles, by chosen paths.
 
-Texts with equal shingle sets form one set.  Each set samples about `roots` of its tokens by a hash that all sets share; sets
-with a sampled token in common meet in its bucket.  A bucket above `split` sets whose sets are mostly unlike is split again:
-each set goes on to the buckets of further sampled tokens, of which sets that are similar enough share two or more on average,
-and so on.  Small buckets, and large ones of mostly similar sets, are compared by brute force, in blocks of bounded size;
-each pair is compared in full, on all its tokens, in the first bucket that it shares.
-
-Recall counts the splits.  Two sets at the threshold share 0.8 * roots roots and 0.8 * FANOUT children of a node on average, at
-the least.  The chance q that no path below a shared node stays shared, however deep the splits go, solves
-q = exp(0.8 * FANOUT * (q - 1)); at a fan-out of 1.25 it is 1, at 2.5 it is 0.203.  The pair never meets with a chance of
-exp(-0.8 * roots * (1 - q)): 12 roots reach a recall of 0.999 at any depth, in place of repeated runs.
-
-What leaves a bucket are counts and a star of links for each connected part, never its pairs.  Buckets with the same members
-are compared once.  Connected components of the links (alternating large and small stars) are the classes.
+Texts with equal shingle sets form one set.  In a run, each set samples about `roots` of its tokens by a hash that all sets share;
+sets with a sampled token in common meet in its bucket.  A bucket above `split` sets is split again: each set goes on to the
+buckets of further sampled tokens, of which sets that are similar enough share one or more on average, and so on.  Buckets of at
+most `split` sets are compared by brute force.  So are larger ones in which a quarter of the sampled pairs are links, as the
+comparisons are then at most four times the links, and ones that DEPTH splits have not parted; both in blocks of bounded size.
+Each pair is compared in full, on all its tokens, in the first bucket that it shares.
+
+Runs are repeated, with fresh samples, until the recall is reached at the depth of splits that was met.  A pair at the threshold
+shares 0.8 * roots roots and 0.8 * FANOUT = 1 children of a node on average, at the least.  The chance s that a shared node still
+has a shared path d splits below follows s(0) = 1, s(d + 1) = 1 - exp(-s(d)); a run misses the pair with chance
+exp(-0.8 * roots * s(d)).  Only sets that stood in a split bucket run again: a pair whose shared roots include one that was not split
+has met.
+
+What leaves a bucket are counts and stars of links, never its pairs.  Buckets with the same members are compared once.
+Connected components of the links (alternating large and small stars) are the classes.
 
 Words are maximal runs of digits, letters and bytes from 128 on, with A-Z in lower case.  Rows: a text of fewer than five
 words is one shingle; null and wordless texts have no links and are a class each (by id); a class's id is its least doc_id,
@@ -22,6 +24,7 @@ null only where all its ids are; rows repeated under one id count as different d
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +38,40 @@ from .decontaminate import Words
 
 SHINGLE = 5
 ROOTS = 12
-FANOUT = 2.5  # 2 / 0.8: similar sets share two of the next tokens on average, so that splits don't wear their paths out
+FANOUT = 1.25  # 1 / 0.8: similar sets share one of the next tokens on average, so that unlike ones part
+TARGET = 0.999
+DEPTH = 8
 SPLIT = 256
 BLOCK = 2048
-ALIKE = 0.25  # above this chance that two sets of a bucket meet again, splitting gains nothing
+VOLUME = 1 << 21  # tokens of a block
+TILE = 1024  # rows and columns of the matrix of shared tokens that a task holds
+SAMPLE = 48  # sets, on average, of which all pairs are compared to rate a bucket
+ALIKE = 0.25  # share of links from which on the comparison of a bucket pays
+COMPANY = 0.3  # share of its roots at which a set must meet others
 NUM, DEN = 4, 5  # the threshold, 0.8
 LEAST = 4  # a set of fewer shingles is similar enough to no other: 3 / 4 is below the threshold
 
 
+def survival(depth: int) -> float:
+    """Chance that a pair at the threshold that shares a node shares one `depth` splits below it."""
+    s = 1.0
+    for _ in range(depth):
+        s = 1 - math.exp(-NUM / DEN * FANOUT * s)
+    return s
+
+
+def runs_needed(depth: int, roots: float = ROOTS, target: float = TARGET) -> int:
+    """Runs after which a pair at the threshold has met with the target's chance, if no bucket is split more than `depth` times."""
+    return max(1, math.ceil(math.log(1 - target) / (-NUM / DEN * roots * survival(depth))))
+
+
+def lost_to_company(n: int, roots: float = ROOTS) -> float:
+    """Chance that a set of n tokens that shares four fifths of them with another meets it, and yet too few others, at its roots."""
+    shared, p = -(-n * NUM // DEN), min(1.0, roots / n)
+    chance = lambda k, of: math.comb(of, k) * p**k * (1 - p) ** (of - k)
+    return sum(chance(k, shared) * chance(j, n - shared) for j in range(n - shared + 1) for k in range(1, shared + 1) if k < math.floor((k + j) * COMPANY))
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A well-spread 64-bit hash of 64-bit numbers."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)
@@ -101,78 +130,147 @@ def shingle_sets(docs: DataFrame, roots: float = ROOTS) -> DataFrame:
     return cut(made, "sets")
 
 
-def _children(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _children(frames: Iterator[pd.DataFrame], expected: float) -> Iterator[pd.DataFrame]:
+    """The buckets below each of a set's paths."""
     for f in frames:
-        kids = [np.unique(sampled(np.asarray(t, np.int32).view(np.uint32).astype(np.uint64), p, FANOUT, len(t))) for p, t in zip(f["path"], f["tokens"])]
-        yield pd.DataFrame({"parent": f["path"], "kids": kids, "sig": f["sig"]})
-
-
-def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(path, sig) of the buckets to compare: split until small or alike."""
-    found = None
+        rows: tuple[list, list, list] = ([], [], [])
+        for sig, paths, held in zip(f["sig"], f["paths"], f["tokens"]):
+            tokens = np.asarray(held, np.int32).view(np.uint32).astype(np.uint64)
+            for p in paths:
+                rows[0].append(p)
+                rows[1].append(np.unique(sampled(tokens, int(p), expected, len(tokens))))
+                rows[2].append(sig)
+        yield pd.DataFrame({"parent": np.array(rows[0], np.int64), "kids": rows[1], "sig": rows[2]})
+
+
+def children(held: DataFrame, tokens: DataFrame, expected: float) -> DataFrame:
+    """(parent, sig, path) for (path, sig); a set's tokens are sent once for all its paths, of which it has few."""
+    by_set = held.groupBy("sig").agg(F.collect_list("path").alias("paths")).join(tokens, "sig").select("sig", "paths", "tokens")
+    made = by_set.mapInPandas(lambda fs: _children(fs, expected), "parent long, kids array<long>, sig binary")
+    return made.select("parent", "sig", F.explode("kids").alias("path"))
+
+
+def shared_tokens(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of a has in common with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    ta, tb = np.concatenate([*a, np.zeros(0, np.int32)]), np.concatenate([*b, np.zeros(0, np.int32)])
+    both = np.intersect1d(ta, tb)
+    ka, kb = np.isin(ta, both), np.isin(tb, both)
+    ra, rb, ta, tb = ra[ka], rb[kb], np.searchsorted(both, ta[ka]), np.searchsorted(both, tb[kb])
+    oa, ob = np.argsort(ta, kind="stable"), np.argsort(tb, kind="stable")
+    ra, ta, rb, tb = ra[oa], ta[oa], rb[ob], tb[ob]
+    for lo in range(0, len(both), 2048):
+        x, y = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+        s, e = np.searchsorted(ta, [lo, lo + 2048])
+        x[ra[s:e], ta[s:e] - lo] = 1
+        s, e = np.searchsorted(tb, [lo, lo + 2048])
+        y[rb[s:e], tb[s:e] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Which sets of a are similar enough to which of b."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    return (NUM + DEN) * shared_tokens(a, b) >= NUM * (na[:, None] + nb[None, :])
+
+
+def _rate(f: pd.DataFrame) -> pd.DataFrame:
+    """The share of links among the pairs of a bucket's sampled sets."""
+    tokens, m = [np.asarray(x, np.int32) for x in f["tokens"]], len(f)
+    share = (linked(tokens, tokens).sum() - m) / (m * (m - 1)) if m > 1 else 0.0
+    return pd.DataFrame({"path": f["path"].iloc[:1], "share": [float(share)]})
+
+
+def rated(held: DataFrame, large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(path, m, alike) of large buckets, from the true similarity of a bounded sample of each one's sets."""
+    unit = (F.xxhash64("path", "sig").cast("double") + 2.0**63) / 2.0**64
+    some = held.join(large, "path").where(unit * F.col("m") < SAMPLE).select("path", "sig").join(tokens, "sig")
+    shares = some.select("path", "tokens").groupBy("path").applyInPandas(_rate, "path long, share double")
+    return large.join(shares, "path", "left").select("path", "m", (F.coalesce("share", F.lit(0.0)) >= ALIKE).alias("alike"))
+
+
+def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[DataFrame, int, DataFrame | None]:
+    """One run: (path, sig) of the buckets to compare, the number of splits made below a root, and the sets that stood in split roots."""
+    found, again, depth = None, None, 0
     while True:
-        sizes = paths.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members")).where("m > 1")
-        sizes = cut(sizes, "buckets")
-        small = paths.join(sizes.where(F.col("m") <= split).groupBy("m", "members").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
+        sizes = cut(paths.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+        small = paths.join(sizes.where(F.col("m") <= split).select("path"), "path", "left_semi")
         found = small if found is None else found.unionByName(small)
-        large = sizes.where(F.col("m") > split).select("path", "m")
+        large = sizes.where(F.col("m") > split)
         if large.isEmpty():
-            return found
+            return found, depth, again
         held = cut(paths.join(large.select("path"), "path", "left_semi"), "large")
-        kids = cut(held.join(tokens, "sig").select("path", "sig", "tokens").mapInPandas(_children, "parent long, kids array<long>, sig binary").select("parent", "sig", F.explode("kids").alias("path")), "children")
-        # The chance that two of a bucket's sets meet in a child again.
-        again = kids.groupBy("parent", "path").agg(F.count("*").cast("double").alias("c")).groupBy(F.col("parent").alias("path")).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
-        rated = large.join(again, "path", "left").select("path", (F.coalesce("pairs", F.lit(0.0)) / (F.col("m") * (F.col("m") - 1.0)) > ALIKE).alias("alike"))
-        rated = cut(rated, "rated")
-        found = found.unionByName(held.join(rated.where("alike").select("path"), "path", "left_semi"))
-        paths = kids.join(rated.where("not alike").select(F.col("path").alias("parent")), "parent", "left_semi").select("path", "sig").distinct()
+        if depth == DEPTH:
+            return found.unionByName(held), depth, again
+        rating = cut(rated(held, large, tokens), "rated")
+        found = found.unionByName(held.join(rating.where("alike").select("path"), "path", "left_semi"))
+        unlike = held.join(rating.where("not alike").select("path"), "path", "left_semi")
+        if rating.where("not alike").isEmpty():
+            return found, depth, again
+        if again is None:
+            again = cut(unlike.select("sig").distinct(), "again")
+        paths = cut(children(unlike, tokens, FANOUT).select("path", "sig").distinct(), "children")
+        depth += 1
+
+
+def runs(met: DataFrame, tokens: DataFrame, split: int = SPLIT, roots: float = ROOTS, target: float = TARGET) -> DataFrame:
+    """(path, sig) of the buckets to compare, of as many runs as the target takes; buckets with the same members once."""
+    found, depth, again = leaves(met, tokens, split)
+    run = 1
+    while again is not None and run < runs_needed(depth, roots, target):
+        # A run's number stands for its root.
+        rooted = children(again.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct()
+        more, deep, again = leaves(cut(rooted, f"run-{run}"), tokens, split)
+        found, depth, run = found.unionByName(more), max(depth, deep), run + 1
+    found = cut(found, "found")
+    members = found.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"))
+    return found.join(members.groupBy("m", "members").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
 
 
 def _compare(f: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of one block, or between two, of a bucket."""
-    path, one = f["path"].iloc[0], f["i"].iloc[0] == f["j"].iloc[0]
+    """All pairs of one block, or between two, of a bucket: star edges, and counts, by tile."""
+    path, one = int(f["path"].iloc[0]), f["i"].iloc[0] == f["j"].iloc[0]
     f = f.sort_values(["blk", "sig"], ignore_index=True)
-    m, n = len(f), f["n"].to_numpy(np.int64)
-    cut_at = m if one else int((f["blk"] == f["i"]).sum())
-    lengths = f["tokens"].map(len).to_numpy()
-    tokens, row = np.concatenate(f["tokens"].to_list()), np.repeat(np.arange(m), lengths)
-    _, at, df = np.unique(tokens, return_inverse=True, return_counts=True)
-    keep = df[at] > 1
-    row, at = row[keep], np.unique(at[keep], return_inverse=True)[1]
-    a, b = np.arange(cut_at), np.arange(m) if one else np.arange(cut_at, m)
-    shared = np.zeros((len(a), len(b)), np.float32)
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
-        s, e = np.searchsorted(at, [lo, lo + 2048])
-        x = np.zeros((m, 2048), np.float32)
-        x[row[s:e], at[s:e] - lo] = 1
-        shared += x[a] @ x[b].T
-    link = (NUM + DEN) * shared >= NUM * (n[a][:, None] + n[b][None, :])
-    whole = np.zeros((m, m), bool)
-    whole[np.ix_(a, b)] = link
-    whole |= whole.T
-    np.fill_diagonal(whole, False)
+    first = f["blk"] == f["i"]
+    tokens, copies, sig = [np.asarray(x, np.int32) for x in f["tokens"]], f["copies"].to_numpy(np.int64), f["sig"].to_numpy()
     # Pairs that share an earlier bucket are compared there.
     earlier: dict[int, list[int]] = {}
     for i, ls in enumerate(f["leaves"]):
         for p in ls:
             if p < path:
                 earlier.setdefault(int(p), []).append(i)
-    for members in earlier.values():
-        if len(members) > 1:
-            whole[np.ix_(members, members)] = False
-    copies = f["copies"].to_numpy(np.int64)
-    root, todo = np.full(m, -1), np.flatnonzero(whole.any(axis=1)).tolist()
-    for i in todo:
-        if root[i] < 0:
-            front = np.array([i])
-            root[i] = i
-            while len(front):
-                front = np.flatnonzero(whole[front].any(axis=0) & (root < 0))
-                root[front] = i
-    linked = np.flatnonzero(root >= 0)
-    return pd.DataFrame({"sig": f["sig"].to_numpy()[linked], "other": f["sig"].to_numpy()[root[linked]], "n_texts": whole.sum(axis=1)[linked], "n_links": (whole @ copies)[linked]})
+    shared_before = [np.array(members) for members in earlier.values() if len(members) > 1]
+    tiles = lambda at: [at[k : k + TILE] for k in range(0, len(at), TILE)]
+    rows, columns = tiles(np.flatnonzero(first)), tiles(np.flatnonzero(first if one else ~first))
+    out = []
+    for p, a in enumerate(rows):
+        for b in columns[p:] if one else columns:
+            same = a[0] == b[0]
+            link = linked([tokens[i] for i in a], [tokens[i] for i in b])
+            if same:
+                np.fill_diagonal(link, False)
+            for members in shared_before:
+                x, y = members[(members >= a[0]) & (members <= a[-1])], members[(members >= b[0]) & (members <= b[-1])]
+                if len(x) and len(y):
+                    link[np.ix_(x - a[0], y - b[0])] = False
+            if not link.any():
+                continue
+            # Each set takes the least number that it reaches within the tile.
+            la, lb = a.copy(), b.copy()
+            while True:
+                na = np.minimum(la, np.where(link, lb[None, :], len(f)).min(axis=1))
+                nb = np.minimum(lb, np.where(link, na[:, None], len(f)).min(axis=0))
+                if (na == la).all() and (nb == lb).all():
+                    break
+                la, lb = na, nb
+            for at, label, texts, docs in ((a, la, link.sum(axis=1), link @ copies[b]), (b, lb, link.sum(axis=0), copies[a] @ link)):
+                k = np.flatnonzero(texts)
+                out.append(pd.DataFrame({"sig": sig[at[k]], "other": sig[label[k]], "n_texts": texts[k], "n_links": docs[k]}))
+                if same:
+                    break
+    return pd.concat(out) if out else pd.DataFrame({"sig": [], "other": [], "n_texts": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64)})
 
 
 def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
@@ -180,22 +278,25 @@ def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     named = sets.where("sig is not null")
     counts = named.groupBy("sig").agg(F.count("*").alias("copies"))
     met = cut(named.where(F.col("n") >= LEAST).select("sig", F.size("roots").alias("r"), F.explode("roots").alias("path")).distinct(), "paths")
-    # A set finds four fifths of its sampled tokens, on average, in any set that is similar enough; sets of which not three
-    # tenths meet any other set have none (the chance to lose one is below that of sharing no root).  Twice, as sets leave.
+    # A set finds four fifths of its sampled tokens, on average, in any set that is similar enough.  Sets that meet others at fewer
+    # than COMPANY of theirs leave before tokens are fetched, twice, as sets leave; see lost_to_company().
     for _ in range(2):
         held = met.join(met.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").select("path"), "path", "left_semi")
-        enough = held.groupBy("sig").agg(F.first("r").alias("r"), F.count("*").alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("r") * 0.3)))
+        enough = held.groupBy("sig").agg(F.first("r").alias("r"), F.count("*").alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("r") * COMPANY)))
         met = cut(held.join(enough.select("sig"), "sig", "left_semi"), "met")
     met = met.select("path", "sig")
     # One row of each set that meets another, with its tokens.
     wanted = met.select("sig").distinct()
     tokens = cut(named.join(wanted, "sig", "left_semi").select("sig", "n", "tokens").dropDuplicates(["sig"]).join(counts, "sig"), "tokens")
-    leaf = cut(leaves(met, tokens.select("sig", "tokens"), split), "leaves")
-    sizes = leaf.groupBy("path").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
+    leaf = cut(runs(met, tokens.select("sig", "tokens"), split), "leaves")
+    volume = leaf.join(tokens.select("sig", "n"), "sig").groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    # Blocks grow with a bucket, so that a set isn't sent once for every 2048 others.
+    g = F.greatest(F.least(F.ceil(F.col("m") / block), F.lit(32)), F.ceil(F.col("m") / (8 * block)), F.ceil(F.col("t") / VOLUME))
+    sizes = volume.select("path", g.cast("int").alias("g"))
     own = leaf.groupBy("sig").agg(F.collect_set("path").alias("leaves"))
     rows = leaf.join(sizes, "path").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("g")).cast("int")).join(own, "sig").join(tokens, "sig")
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("blk")).alias("i"), F.greatest(k, F.col("blk")).alias("j")))
-    dealt = rows.withColumn("pair", F.explode(pairs)).select("path", "pair.i", "pair.j", "blk", "sig", "n", "copies", "leaves", "tokens")
+    dealt = rows.withColumn("pair", F.explode(pairs)).select("path", "pair.i", "pair.j", "blk", "sig", "copies", "leaves", "tokens")
     return cut(dealt.groupBy("path", "i", "j").applyInPandas(_compare, "sig binary, other binary, n_texts long, n_links long"), "links")
 
 
@@ -217,7 +318,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, key, sig, class_id, n_links (other documents linked, copies included) and n_texts (different sets linked)."""
+    """doc_id, key, sig, root (the class, null without words), class_id, n_links (other documents linked, copies included) and n_texts (different sets linked)."""
     sets = shingle_sets(docs)
     found = links(sets, **how)
     ids = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
@@ -226,16 +327,29 @@ def classes(docs: DataFrame, **how) -> DataFrame:
     rooted = ids.join(roots, "sig", "left").join(counts, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rooted = cut(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = rooted.join(least, "root").select("sig", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
-    return sets.select("doc_id", "key", "sig").join(known, "sig", "left").select("doc_id", "key", "sig", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+    known = rooted.join(least, "root").select("sig", "root", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+    return sets.select("doc_id", "key", "sig").join(known, "sig", "left").select("doc_id", "key", "sig", "root", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """Of each class the document whose id names it, with all columns; wordless documents all stay, as do rows repeated under one
-    id and rows without an id whose class has none."""
-    gone = classes(docs, **how).where("sig is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias("gone_id"), "key").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))) == gone["key"]), "left_anti")
+    """One row of each class, with all columns: that of the least doc_id (a null id after all others), of its texts the one with the
+    least md5, of rows repeated with id and text any one.  Wordless documents are in no class and all stay."""
+    found = classes(docs, **how).where("sig is not null").withColumn("who", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    found = cut(found.select("doc_id", "key", "root", "who"), "found")
+    best = found.groupBy("root").agg(F.min("who").alias("best"))
+    gone = found.join(best, "root").where("who <> best").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    same = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+    key, doc_id = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))), docs["doc_id"].cast("long")
+    on = lambda other: doc_id.eqNullSafe(other["gone_id"]) & (key == other["gone_key"])
+    kept = docs.join(gone, on(gone), "left_anti")
+    # Rows repeated with id and text, few or none, are the only ones of which one is chosen.
+    if same.isEmpty():
+        return kept
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, number = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
+    once = kept.join(same, on(same), "left_semi").toDF(*names).dropDuplicates([number, text]).toDF(*docs.columns)
+    return kept.join(same, on(same), "left_anti").union(once)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).drop("key", "sig")
+    return classes(table(spark, sf_dir, "documents")).drop("key", "sig", "root")

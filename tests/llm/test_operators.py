@@ -189,18 +189,47 @@ def test_similarity(spark, docs, split):
 
 
 def test_paths_outlast_splits():
-    # Pairs at the threshold: the smaller set lies in the larger, every bucket is split.
+    # Pairs at the threshold: the smaller set lies in the larger, every bucket is split; each depth has the runs that it takes.
     met, pairs = np.zeros(7, int), 1000
     tokens = np.random.default_rng(5).integers(0, 2**32, (pairs, 100)).astype(np.uint64)
     for a in tokens:
-        b, shared = a[:80], [0]
-        for depth in range(7):
-            n = similarity.FANOUT if depth else similarity.ROOTS
-            shared = [p for x in shared for p in np.intersect1d(similarity.sampled(a, x, n, 100), similarity.sampled(b, x, n, 80)).tolist()][:8]
-            met[depth] += bool(shared)
+        b, found = a[:80], np.zeros(7, bool)
+        for run in range(similarity.runs_needed(6)):
+            shared = [run]
+            for depth in range(7):
+                n = similarity.FANOUT if depth else similarity.ROOTS
+                shared = [p for x in shared for p in np.intersect1d(similarity.sampled(a, x, n, 100), similarity.sampled(b, x, n, 80)).tolist()]
+                found[depth] |= bool(shared) and run < similarity.runs_needed(depth)
+        met += found
     assert (met >= 0.998 * pairs).all()
 
 
+def test_company_costs_little():
+    # The chance to leave for want of company, at the threshold, for sets of any size.
+    assert max(similarity.lost_to_company(n) for n in (*range(4, 40), 60, 100, 150)) < 1e-4
+
+
+def test_a_common_passage_does_not_keep_buckets_together(spark):
+    # Three tenths of each text are a passage that all share: none is like another, so no large bucket is compared in full.
+    common = " ".join(f"c{k}" for k in range(34))
+    rows = [(i, common + " " + " ".join(f"u{i}x{k}" for k in range(70))) for i in range(3000)]
+    sets = similarity.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    met = sets.selectExpr("sig", "explode(roots) path")
+    leaf = similarity.runs(met, sets.select("sig", "tokens"))
+    assert leaf.groupBy("path").count().where("count > 256").isEmpty()
+    # Of near copies, all pairs are links, and they are compared at once.
+    near = [(i, " ".join(f"n{k}" for k in range(100)) + f" end{i}") for i in range(600)]
+    got = similarity.classes(spark.createDataFrame(near, "doc_id long, text string"), block=64).collect()
+    assert {(r.class_id, r.n_links, r.n_texts) for r in got} == {(0, 599, 599)}
+
+
+def test_one_row_of_a_class_stays(spark):
+    t = " ".join(f"n{k}" for k in range(40))
+    rows = [(3, t, 1), (3, t, 2), (3, t + " end", 3), (4, t, 4), (None, t, 5), (None, "a b c d e f", 6), (None, "a b c d e f", 7), (8, "...", 8), (8, "...", 9)]
+    kept = similarity.representatives(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert len(kept) == 4 and sum(r.doc_id == 3 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 8 for r in kept) == 2
+
+
 def test_similarity_of_frequent_passages(spark):
     # Each passage stands in about 80 texts, each text has one copy cut off near the threshold, and buckets are split to the last.
     g = np.random.default_rng(3)
