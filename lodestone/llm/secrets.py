@@ -3,11 +3,12 @@
 The rules are written in a small regex dialect, compiled by Thompson and subset construction into one automaton over
 UTF-8 bytes, minimised (Moore's partition refinement) and laid out as arrays.  Every text passes it once, byte by byte;
 thousands of stretches of text advance together, one array look-up per step.  Stretches are cut at bytes that
-send every state to the start, so a cut never splits a match.  The pass yields the rules each text holds; spans are then
-read off by the automaton of the single rule, from the left, longest first, without overlap.
+send every state to the start; where there is none for long, anywhere, and a stretch whose guessed first state was wrong is
+passed again from the right one.  The pass yields the rules each text holds; spans are then read off by the automaton of the
+single rule, from the left, longest first, without overlap.
 
-Rows: a null text is empty; empty and null texts have zero counts and empty span lists; repeated rows give repeated
-results; a null id stays null; other columns are ignored.
+Rows: a null text is empty; empty and null texts have zero counts and empty span lists; very long texts are scanned whole, in time
+that grows with their length; repeated rows give repeated results; a null id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,17 +212,53 @@ def single(rule: Rule) -> tuple[list[int], list[list[int]], list[bool], int, int
     return a.of_byte.tolist(), rows.tolist(), (a.ends > 0).tolist(), a.start, a.dead, rows[a.start][a.of_byte] != a.dead
 
 
-def rules_in(offsets: np.ndarray, data: np.ndarray, a: Automaton, lanes: int = 8192) -> np.ndarray:
-    """The one pass: a bit mask, for each text, of the rules of which it holds a match."""
+def _advance(begin: np.ndarray, length: np.ndarray, entry: np.ndarray, coded: np.ndarray, a: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches from their entry states, all together: their last states, and stretch, place and state of each byte that ends a match."""
+    step, hit = (a.step * a.classes).astype(np.int32), np.zeros(len(a.ends) * a.classes, bool)
+    hit[np.flatnonzero(a.ends) * a.classes] = True
+    order = np.argsort(-length, kind="stable")  # long ones first: those still under way stay in front
+    at, state = begin[order], (entry[order] * a.classes).astype(np.int32)
+    n = length[order]
+    live = np.searchsorted(-n, -np.arange(n[0]), side="left") if len(n) else []
+    lanes, places, states = [], [], []
+    for k, m in enumerate(live):
+        s = step[state[:m] + coded[at[:m] + k]]
+        state[:m] = s
+        if hit[s].any():
+            i = np.flatnonzero(hit[s])
+            lanes.append(order[i])
+            places.append(at[i] + k)
+            states.append(s[i] // a.classes)
+    out = np.empty(len(begin), np.int64)
+    out[order] = state // a.classes
+    join = lambda xs: np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64)
+    return out, join(lanes), join(places), join(states)
+
+
+def _unknown(known: dict[tuple[int, int], int], guessed: list[bool], start: int, entry: np.ndarray) -> list[tuple[int, int]]:
+    """Sets the stretches' entry states as far as the last states of those before are known.  Where one isn't, the same entry is asked
+    for all stretches up to the next clearing byte, as a state that lasts, lasts long."""
+    todo, k, n = [], 0, len(guessed)
+    while k < n:
+        entry[k] = e = known[k - 1, int(entry[k - 1])] if guessed[k] else start
+        k += 1
+        if (k - 1, e) in known:
+            continue
+        todo.append((k - 1, e))
+        while k < n and guessed[k]:
+            if (k, e) not in known:
+                todo.append((k, e))
+            k += 1
+    return todo
+
+
+def rules_in(offsets: np.ndarray, data: np.ndarray, a: Automaton, lanes: int = 8192, reach: int = 512) -> np.ndarray:
+    """The one pass: a bit mask, for each text, of the rules of which it holds a match.  reach: how far a cut looks for a clearing byte."""
     out = np.zeros(len(offsets) - 1, np.int32)
     rows = a.step.reshape(-1, a.classes)
     clears = np.flatnonzero((rows == a.start).all(axis=0))
     clearing = np.isin(a.of_byte, clears)
-    zero = int(a.of_byte[0])
-    assert zero in clears
-    step, ends, classes = (a.step * a.classes).astype(np.int32), a.ends, a.classes
-    hit_at = np.zeros(len(ends) * classes, bool)
-    hit_at[np.flatnonzero(ends) * classes] = True
+    assert int(a.of_byte[0]) in clears
     # Texts are parted by a zero byte, which clears the state, and so are the stretches.
     n = len(data) + len(out)
     if not n:
@@ -232,39 +269,52 @@ def rules_in(offsets: np.ndarray, data: np.ndarray, a: Automaton, lanes: int = 8
     text = np.zeros(n, np.uint8)
     text[~gap] = data
     cuts = np.append(np.flatnonzero(clearing[text]) + 1, n)
-    want = np.linspace(0, n, min(lanes, max(1, n // 256)) + 1)[1:-1]
-    begin = np.unique(np.concatenate([[0], cuts[np.searchsorted(cuts, want)]]))
+    want = np.linspace(0, n, min(lanes, max(1, n // 256)) + 1)[1:-1].astype(np.int64)
+    clear = cuts[np.searchsorted(cuts, want)]
+    begin = np.unique(np.concatenate([[0], np.where(clear - want <= reach, clear, want)]))
     begin = begin[begin < n]
-    length = np.diff(np.append(begin, n))
-    order = np.argsort(-length, kind="stable")  # long ones first: those still under way stay in front
-    begin, length = begin[order], length[order]
-    coded = a.of_byte.astype(np.uint8)[text]
-    state = np.full(len(begin), a.start * classes, np.int32)
-    live = np.searchsorted(-length, -np.arange(length[0]), side="left") if len(length) else []
-    for k in range(int(length[0])):
-        m = live[k]
-        s = step[state[:m] + coded[begin[:m] + k]]
-        state[:m] = s
-        if hit_at[s].any():
-            at = np.flatnonzero(hit_at[s])
-            np.bitwise_or.at(out, np.searchsorted(first, begin[at] + k, side="right") - 1, ends[s[at] // classes])
+    guessed = (begin > 0) & ~clearing[text[begin - 1]]
+    length, coded = np.diff(np.append(begin, n)), a.of_byte.astype(np.uint8)[text]
+    entry = np.full(len(begin), a.start, np.int64)
+    last, hits, place, state = _advance(begin, length, entry, coded, a)
+    came = entry[hits]
+    if (guessed[1:] & (last[:-1] != a.start)).any():
+        known = {(k, a.start): e for k, e in enumerate(last.tolist())}
+        while todo := _unknown(known, guessed.tolist(), a.start, entry):
+            again, e = (np.array(x, np.int64) for x in zip(*todo))
+            ends, h, p, s = _advance(begin[again], length[again], e, coded, a)
+            known |= zip(todo, ends.tolist())
+            hits, came, place, state = (np.concatenate(x) for x in ((hits, again[h]), (came, e[h]), (place, p), (state, s)))
+        right = entry[hits] == came
+        place, state = place[right], state[right]
+    np.bitwise_or.at(out, np.searchsorted(first, place, side="right") - 1, a.ends[state])
     return out
 
 
+MARK = 16
+
+
 def spans_of(text: bytes, rule: Rule) -> list[tuple[int, int]]:
-    """Byte spans of the rule's matches, leftmost and longest, without overlap; those too short are dropped afterwards."""
+    """Byte spans of the rule's matches, leftmost and longest, without overlap; those too short are dropped afterwards.
+    A place and state, noted every MARK bytes, from which a walk met no end isn't walked from again, so the time is linear."""
     of_byte, rows, ends, start, dead, begins = single(rule)
-    out, free = [], 0
+    out, free, states, fruitless = [], 0, len(rows), set()
     for s in np.flatnonzero(begins[np.frombuffer(text, np.uint8)]).tolist():
         if s < free:
             continue
-        state, end = start, 0
-        for i in range(s, len(text)):
+        state, end, i, passed = start, 0, s, []
+        while i < len(text):
             state = rows[state][of_byte[text[i]]]
+            i += 1
             if state == dead:
                 break
             if ends[state]:
-                end = i + 1
+                end = i
+            if not i % MARK:
+                if (mark := i * states + state) in fruitless:
+                    break
+                passed.append(mark)
+        fruitless.update(x for x in passed if x // states > end)
         if end:
             free = end
             if end - s >= rule.least and _value(text[s:end], rule) >= rule.least_value:

@@ -83,6 +83,48 @@ def test_secret_spans(sample):
         assert sha == hashlib.sha256(base_spans(text).encode()).hexdigest()
 
 
+ADDED = (("github", "gh[pousr]_[A-Za-z0-9]+", 40), ("slack", "xox[abprs]-[A-Za-z0-9-]+", 15), ("google", "AIza[A-Za-z0-9_-]+", 39), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0), ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40))
+ADDED_PIECE = st.sampled_from(["ghp_", "gho_", "xoxb-", "xoxs-", "AIza", "eyJ", ".", "-", "_", "a1" * 8, "Zz9" * 13, "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", " ", "\n", "é", "password=", "0f" * 8])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ADDED_PIECE, max_size=24).map("".join), st.sampled_from([1, 3, 64]))
+def test_added_secrets(text, mark):
+    before, secrets.MARK = secrets.MARK, mark
+    try:
+        raw = text.encode()
+        for rule in secrets.RULES[secrets.BASE :]:
+            pattern, least = next((p, n) for k, p, n in ADDED if k == rule.kind)
+            assert secrets.spans_of(raw, rule) == [m.span() for m in re.finditer(pattern.encode(), raw) if len(m[0]) >= least]
+    finally:
+        secrets.MARK = before
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(PIECE, ADDED_PIECE), max_size=60).map("".join), max_size=4), st.sampled_from([0, 3, 512]))
+def test_one_pass_finds_what_single_rules_find(sample, reach):
+    raws = [x.encode() for x in sample]
+    a = secrets.combined()
+    got = secrets.rules_in(np.cumsum([0, *map(len, raws)]), np.frombuffer(b"".join(raws), np.uint8), a, reach=reach)
+    for raw, mask in zip(raws, got.tolist()):
+        assert mask == sum(1 << k for k, r in enumerate(secrets.RULES) if re.search((r.seen or r.pattern).encode(), raw))
+
+
+def test_secrets_of_long_texts():
+    import time
+
+    for text in ("eyJ" * 350_000, "a" * 1_000_000, "-----BEGIN " + "A" * 1_000_000, "eyJa.eyJ" * 130_000, "ghp_" * 250_000, ("-----BEGIN RSA " * 70_000)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        began = time.process_time()
+        mask = int(secrets.rules_in(np.array([0, len(raw)]), raw, secrets.combined())[0])
+        found = {r.kind: secrets.spans_of(text.encode(), r) for k, r in enumerate(secrets.RULES) if mask >> k & 1}
+        assert time.process_time() - began < 4
+        for kind, pattern, least in ADDED:
+            if kind != "jwt" or len(set(text)) > 3:  # the plain pattern is quadratic on a run of eyJ
+                continue
+            assert not found.get(kind)
+
+
 def test_secrets_odd_and_redacted(spark, odd, docs):
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
     clean = secrets.redacted(docs)
