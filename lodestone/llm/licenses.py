@@ -4,11 +4,13 @@ A template is aligned with a text on the words that occur once in both: of these
 stays, and the gaps between them are aligned in the same way, after equal words at their ends have been matched.  Coverage is
 the share of the template's words matched; a match also has to be dense in the text.
 
-A text is aligned only where a template can be covered: it has to hold enough of its words, and alignment runs in the
-stretches around each occurrence of the template's rarest word there, so repeated notices are found as well.
+A text is aligned only where a template can be covered: it has to hold enough of its words, and of the template's rarest words there
+one at least is matched by any cover.  Each place of such a word says where the template would begin; the template is aligned with
+the stretch of its own size there and with one of twice its size around it.  So a notice with all its words in a row is always found,
+next to others and among words of its own as well.
 
-Rows: null, empty and wordless texts have no license; ties go to the template first in the list; repeated rows give repeated
-results; null ids stay null; other columns are ignored.
+Rows: null, empty and wordless texts have no license; ties go to the template first in the list; very long texts are searched whole;
+repeated rows give repeated results; null ids stay null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,18 +93,17 @@ def find(text: list[str], template: list[str], places: dict[str, list[int]], cov
         return []
     # Of these words one at least is matched, whatever a cover leaves out.
     rare = sorted(range(len(template)), key=lambda i: len(places.get(template[i], ())))[: len(template) - int(coverage * len(template)) + 1]
-    size, done, out = len(template), set(), []
-    for i in rare:
-        for p in places.get(template[i], ()):
-            lo = max(0, p - i - size // 2)
-            if lo // max(1, size // 4) in done:
-                continue
-            done.add(lo // max(1, size // 4))
-            got = align(template, text[lo : p - i + size + size // 2 + 1])
+    size, out = len(template), set()
+    for at in {p - i for i in rare for p in places.get(template[i], ())}:
+        for lo, hi in ((at, at + size), (at - size // 2, at + size + size // 2 + 1)):
+            lo = max(0, lo)
+            got = align(template, text[lo : max(lo, hi)])
             if got and len(got) >= coverage * size:
-                first, last = lo + min(j for _, j in got), lo + max(j for _, j in got) + 1
+                first, last = lo + got[0][1], lo + got[-1][1] + 1
                 if len(got) >= density * (last - first):
-                    out.append((len(got) / size, first, last))
+                    out.add((len(got) / size, first, last))
+                if len(got) == size == last - first:
+                    break
     kept: list[tuple[float, int, int]] = []
     for c, s, e in sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1])):
         if all(e <= s2 or s >= e2 for _, s2, e2 in kept):

@@ -142,6 +142,39 @@ def test_licenses(odd):
     assert next(r for r in rows if r.doc_id == 99).license == "MIT-text"
 
 
+def places_of(text):
+    out = {}
+    for j, w in enumerate(text):
+        out.setdefault(w, []).append(j)
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_exact_notice_is_found(name):
+    # Placements and surroundings of all templates: plain prose, or the template's own words, at each distance from the ends.
+    template, g = licenses.words(licenses.TEMPLATES[name]), np.random.default_rng(len(name))
+    prose = [f"p{i}" for i in range(50)]
+    for k in range(120):
+        source = (template, prose, template + prose)[k % 3]
+        draw = lambda n: g.choice(source, n).tolist()  # noqa: E731, B023
+        text = draw(k % 13) + template + (draw(k % 7) + template if k % 4 == 0 else []) + draw(k // 3 % 11)
+        exact = {s for s in range(len(text) - len(template) + 1) if text[s : s + len(template)] == template}
+        found = licenses.find(text, template, places_of(text), 0.8, 0.6)
+        whole = {s for c, s, e in found if c == 1 and e - s == len(template)}
+        assert all(any(abs(s - t) < len(template) for t in whole) for s in exact) and whole <= exact
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
+def test_adjacent_and_edited_notices(spark):
+    three = "All rights reserved. All rights reserved. All rights reserved."
+    long = " ".join(f"z{i}" for i in range(40_000))
+    edited = licenses.TEMPLATES["Apache-2.0-header"].replace("may not", "can not").replace("distributed on", "given on").replace("either", "")
+    rows = [(1, three), (2, None), (3, long + " " + licenses.TEMPLATES["MIT-text"] + " " + long), (4, "!!"), (5, long + edited), (None, three)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_found == got[None].n_found == 3 and got[2].n_found == got[4].n_found == 0
+    assert got[3].license == "MIT-text" and got[3].coverage == 1 and got[5].license == "Apache-2.0-header" and got[5].coverage > 0.9
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcdefg"), max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=12))
 def test_alignment_is_increasing_and_equal(a, b):
