@@ -16,19 +16,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one is made only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir.  Where it is unset, a local session gets one of its own; on a cluster that is
+    an error, as no executor sees another's disk."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder for the tables between steps")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_open: list[list[str]] = []  # paths written in each open workspace
+
+
+class Workspace:
+    """Tables that cut() writes within a `with` are removed at its end, but for those kept: by then what read them is written too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Workspace:
+        _open.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, of cut(), stays; the workspace around this one removes it."""
+        self.kept.add(df.written_at)
+        return df
+
+    def keep_last(self) -> None:
+        """The last table stays, if there is one."""
+        self.kept.update(_open[-1][-1:])
+
+    def __exit__(self, kind, *_) -> None:
+        made = _open.pop()
+        stay = [x for x in made if kind is not None or x in self.kept]
+        for path in made:
+            if path not in stay:
+                removed(self.spark, path)
+        if _open:
+            _open[-1] += stay
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that cut() wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and no executor's loss repeats it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

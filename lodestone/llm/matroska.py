@@ -1,10 +1,14 @@
 """Matroska media columns: a writer for one PCM track, and a parser from bytes to packet tables.
 
 write() stores 8-bit samples in laced SimpleBlocks of clusters with cues; packets() parses any such file: variable-length
-EBML numbers, elements of known and unknown size, clusters, SimpleBlocks and BlockGroups, the three lacings and cues.
-
-Rows: a null text is empty; an empty payload is padded to one frame of 576 bytes of 255; equal texts give equal values;
-null ids stay null; other columns are ignored.  A file that ends inside an element raises ValueError.
+EBML numbers, elements of known and unknown size, clusters, SimpleBlocks and BlockGroups, the three lacings and cues.  Times are
+ticks of the segment's TimestampScale.  Frames after the first of a lace have a time where the track's DefaultDuration or the block's
+BlockDuration says how long a frame is, else none.
+
+Rows: a null text is empty; an empty payload is padded to one frame of 576 bytes of 255; equal texts give equal values; a very long
+text is one file of as many clusters as it takes, held as a whole in its task; repeated rows give repeated results; null ids stay
+null; other columns are ignored.  packets() raises ValueError for a damaged file; packet_table() gives such a file's packets up to the
+damage and a row with the error.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ BLOCKS = 16  # blocks in a cluster
 # Element ids of the EBML and Matroska formats.
 EBML, DOCTYPE, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK, NUMBER, UID, KIND, CODEC, AUDIO, HZ, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIME, SIMPLE, GROUP, BLOCK, LASTS = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+VERSION, READ_VERSION, MUXER, WRITER, EACH = 0x4287, 0x4285, 0x4D80, 0x5741, 0x23E383
 CUES, POINT, CUETIME, PLACES, CUETRACK, CUEAT = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 SEEK, CHAPTERS, TAGS, ATTACHED = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 BESIDE = {SEEK, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHED}
@@ -39,7 +44,7 @@ NANOS = 1_000_000_000 // RATE  # one tick is one sample
 
 class Packet(NamedTuple):
     track: int
-    time: int
+    time: int | None
     start: int
     end: int
 
@@ -90,9 +95,9 @@ def laced(frames: list[bytes], how: int) -> bytes:
 def write(payload: bytes, lacing: int = 2) -> bytes:
     """The payload, of whole frames, as a file with one track of unsigned 8-bit samples."""
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
-    head = element(EBML, element(DOCTYPE, b"matroska"))
-    body = element(INFO, number(SCALE, NANOS) + element(DURATION, struct.pack(">d", len(payload))))
-    body += element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(HZ, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))))
+    head = element(EBML, element(DOCTYPE, b"matroska") + number(VERSION, 4) + number(READ_VERSION, 2))
+    body = element(INFO, number(SCALE, NANOS) + element(DURATION, struct.pack(">d", len(payload))) + element(MUXER, b"own") + element(WRITER, b"own"))
+    body += element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(EACH, FRAME * NANOS) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(HZ, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))))
     parts, cues, at = [body], [], len(body)
     for c in range(0, len(frames), LACED * BLOCKS):
         blocks, stop = [], min(len(frames), c + LACED * BLOCKS)
@@ -144,6 +149,8 @@ def unlaced(data: bytes, at: int, end: int, how: int) -> list[tuple[int, int]]:
     """Byte ranges of a block's frames."""
     if how == 0:
         return [(at, end)]
+    if at >= end:
+        raise ValueError("a laced block has no frame count")
     count, at = data[at] + 1, at + 1
     sizes: list[int] = []
     if how == 2:
@@ -151,8 +158,10 @@ def unlaced(data: bytes, at: int, end: int, how: int) -> list[tuple[int, int]]:
     while len(sizes) < count - 1:
         if how == 1:
             n = 0
-            while data[at] == 255:
+            while at < end and data[at] == 255:
                 n, at = n + 255, at + 1
+            if at >= end:
+                raise ValueError("the block ends inside its lace sizes")
             sizes.append(n + data[at])
             at += 1
         else:
@@ -161,6 +170,8 @@ def unlaced(data: bytes, at: int, end: int, how: int) -> list[tuple[int, int]]:
             sizes.append(value if not sizes else sizes[-1] + value - ((1 << 7 * (at - before) - 1) - 1))
     out = []
     for n in sizes:
+        if n < 0:
+            raise ValueError("a laced frame has a size below zero")
         out.append((at, at + n))
         at += n
     if at > end:
@@ -168,25 +179,64 @@ def unlaced(data: bytes, at: int, end: int, how: int) -> list[tuple[int, int]]:
     return [*out, (at, end)]
 
 
+class Media:
+    """What packets() has read so far: packets with track, time in ticks and byte range; cues as time and the byte of their cluster;
+    nanoseconds of a tick."""
+
+    def __init__(self) -> None:
+        self.packets: list[Packet] = []
+        self.cues: list[tuple[int, int]] = []
+        self.scale = 1_000_000
+        self.each: dict[int, int] = {}  # nanoseconds of a frame, by track
+
+    def read(self, data: bytes) -> Media:
+        base, segment, cue, track, block = 0, 0, 0, {}, (0, 0)
+        for name, at, end in elements(data, 0, len(data)):
+            if name == SEGMENT:
+                segment = at
+            elif name == TRACK:
+                track = {}
+            elif name in (SCALE, NUMBER, EACH, TIME, CUETIME, CUEAT, LASTS):
+                value = int.from_bytes(data[at:end], "big")
+                if name == SCALE:
+                    self.scale = value
+                elif name in (NUMBER, EACH):
+                    track[name] = value
+                    if len(track) == 2:
+                        self.each[track[NUMBER]] = track[EACH]
+                elif name == TIME:
+                    base = value
+                elif name == CUETIME:
+                    cue = value
+                elif name == CUEAT:
+                    self.cues.append((cue, segment + value))
+                else:
+                    self._spread(*block, value)
+            elif name == GROUP:
+                block = (len(self.packets), len(self.packets))
+            elif name in (SIMPLE, BLOCK):
+                number_, p = read_vint(data, at)
+                if p + 3 > end:
+                    raise ValueError(f"the block at byte {at} ends inside its header")
+                time, how = base + struct.unpack_from(">h", data, p)[0], data[p + 2] >> 1 & 3
+                each, first = self.each.get(number_), len(self.packets)
+                for k, (a, b) in enumerate(unlaced(data, p + 3, end, how)):
+                    known = time if not k else None if each is None else time + k * each // self.scale
+                    self.packets.append(Packet(number_, known, a, b))
+                block = (first, len(self.packets))
+        return self
+
+    def _spread(self, first: int, stop: int, ticks: int) -> None:
+        """A block's duration over frames whose times aren't known."""
+        for k in range(first + 1, stop):
+            if self.packets[k].time is None:
+                self.packets[k] = self.packets[k]._replace(time=self.packets[first].time + (k - first) * ticks // (stop - first))
+
+
 def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int]]]:
     """Packets with track, time in ticks and byte range, and cues as time and the byte of their cluster."""
-    out, cues, base, segment, cue = [], [], 0, 0, 0
-    for name, at, end in elements(data, 0, len(data)):
-        if name == SEGMENT:
-            segment = at
-        elif name == TIME:
-            base = int.from_bytes(data[at:end], "big")
-        elif name in (SIMPLE, BLOCK):
-            track, p = read_vint(data, at)
-            time, how = base + struct.unpack_from(">h", data, p)[0], data[p + 2] >> 1 & 3
-            for a, b in unlaced(data, p + 3, end, how):
-                out.append(Packet(track, time, a, b))
-                time += b - a  # one tick a sample
-        elif name == CUETIME:
-            cue = int.from_bytes(data[at:end], "big")
-        elif name == CUEAT:
-            cues.append((cue, segment + int.from_bytes(data[at:end], "big")))
-    return out, cues
+    media = Media().read(data)
+    return media.packets, media.cues
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -222,18 +272,27 @@ def media_digests(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_rows, DDL)
 
 
+TABLE = pa.schema([("file_id", pa.int64()), ("track", pa.int32()), ("time", pa.int64()), ("time_ns", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("cued", pa.bool_()), ("error", pa.string())])
+
+
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = pa.schema([("file_id", pa.int64()), ("track", pa.int32()), ("time", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("cued", pa.bool_())])
     for b in batches:
         for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found, cues = packets(data or b"")
-            times = {t for t, _ in cues}
-            yield batch(out, file_id=[key] * len(found), track=[p.track for p in found], time=[p.time for p in found], start=[p.start for p in found], end=[p.end for p in found], cued=[p.time in times for p in found])
+            media, error = Media(), None
+            try:
+                media.read(data or b"")
+            except ValueError as e:
+                error = str(e)
+            times = {t for t, _ in media.cues}
+            rows = [(key, p.track, p.time, None if p.time is None else p.time * media.scale, p.start, p.end, p.time in times, None) for p in media.packets]
+            rows += [(key, None, None, None, None, None, None, error)] if error else []
+            yield batch(TABLE, **dict(zip(TABLE.names, zip(*rows) if rows else [[]] * len(TABLE.names))))
 
 
 def packet_table(files: DataFrame) -> DataFrame:
-    """(file_id, content binary) to one row a packet; a null or empty file has none."""
-    return files.selectExpr("cast(file_id as bigint) file_id", "content").mapInArrow(_tables, "file_id long, track int, time long, start long, end long, cued boolean")
+    """(file_id, content binary) to one row a packet; a null or empty file has none; a damaged one has a last row with its error."""
+    ddl = "file_id long, track int, time long, time_ns long, start long, end long, cued boolean, error string"
+    return files.selectExpr("cast(file_id as bigint) file_id", "content").mapInArrow(_tables, ddl)
 
 
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

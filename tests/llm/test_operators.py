@@ -217,6 +217,63 @@ def test_decontamination(spark, odd, block):
     assert decontaminate.report(odd.limit(0), bench).count() == 0
 
 
+def longest(text, items):
+    """All longest matches, by comparing every place of the text with every place of every item."""
+    w, out = words(text), []
+    for item, t in items:
+        x = words(t)
+        for i in range(len(w)):
+            for j in range(len(x)):
+                if w[i] == x[j] and (i == 0 or j == 0 or w[i - 1] != x[j - 1]):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    if n >= min(10, len(x)):
+                        out.append((item or "", j, i, n))
+    return sorted(out)
+
+
+BIT = st.lists(st.sampled_from(["a", "b", "c d", "e"]), max_size=40).map(" ".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(BIT, max_size=3), st.lists(BIT, min_size=1, max_size=4), st.sampled_from([3, 1 << 21]))
+def test_matches_are_the_longest(texts_, benches, pairs):
+    import pyarrow as pa
+
+    items = [(str(i) if i else None, t) for i, t in enumerate(dict.fromkeys(benches)) if t]
+    tests = decontaminate.Tests.of(items)
+    if not len(tests.windows):
+        return
+    before, decontaminate.PAIRS = decontaminate.PAIRS, pairs
+    try:
+        rows = pa.RecordBatch.from_arrays([pa.array(texts_, pa.string()), *(pa.array([0 if k == 0 else []] * len(texts_), t) for k, (_, t) in enumerate(decontaminate.STATE))], names=["text", *(n for n, _ in decontaminate.STATE)])
+        out = [r for b in decontaminate._pass(iter([rows]), tests, 0) for r in b.to_pylist()]
+    finally:
+        decontaminate.PAIRS = before
+    for t, r in zip(texts_, out):
+        assert sorted((m["item"] or "", m["at"], m["start"], m["length"]) for m in r["__matches"]) == longest(t, items)
+
+
+def test_neighbouring_items_are_two_matches(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(10)) for c in "xy")
+    docs_ = spark.createDataFrame([(1, f"head {one} {two} tail")], "doc_id long, text string")
+    got = decontaminate.report(docs_, spark.createDataFrame([(5, one), (6, two)], "item_id long, text string")).first()
+    assert (got.longest, got.n_matches, got.longest_at, got.n_hit) == (10, 2, "5:0:1", 20)
+
+
+def test_long_words_and_shards(monkeypatch):
+    # Segments shorter than words and texts: hashes and words stay the same.
+    texts_ = [("k" * n + " l" * n).encode() for n in (1, 9, 40, 300)] + ["é".encode() * 77]
+    offsets, data = np.cumsum([0, *map(len, texts_)]), np.frombuffer(b"".join(texts_), np.uint8)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 32)
+    small = decontaminate.Words().of(offsets, data)
+    monkeypatch.undo()
+    whole = decontaminate.Words().of(offsets, data)
+    assert all((a == b).all() for a, b in zip(small[:2], whole[:2])) and (small[3] == whole[3]).all()
+    assert (np.unique(small[2], return_inverse=True)[1] == np.unique(whole[2], return_inverse=True)[1]).all()
+
+
 def test_suffix_dedup(odd, docs):
     for rows, got in ((texts(docs), suffixes.deduplicated(docs).collect()), ([r[:2] for r in ODD], suffixes.deduplicated(odd).collect())):
         first = {}
@@ -361,6 +418,40 @@ def test_matroska_clusters_of_unknown_size():
     assert [(p.time, media[p.start : p.end]) for p in found] == [(10 * i, bytes([i % 256])) for i in range(n)] and len(cues) == 1
 
 
+def lace(time, frames, how, group=None):
+    m = matroska
+    body = b"\x81" + time.to_bytes(2, "big") + bytes([how << 1]) + m.laced(frames, how)
+    return m.element(m.SIMPLE, body) if group is None else m.element(m.GROUP, m.element(m.BLOCK, body) + group)
+
+
+def film(*blocks, each=None, scale=1_000_000):
+    m = matroska
+    track = m.element(m.TRACK, (m.number(m.EACH, each) if each else b"") + m.number(m.NUMBER, 1))
+    return m.element(m.EBML, b"") + m.element(m.SEGMENT, m.element(m.INFO, m.number(m.SCALE, scale)) + m.element(m.TRACKS, track) + m.element(m.CLUSTER, m.number(m.TIME, 100) + b"".join(blocks)))
+
+
+def test_matroska_times_of_laced_frames():
+    frames, m = [b"a" * 10, b"b" * 700, b"c" * 5], matroska
+    times = lambda data: [p.time for p in m.packets(data)[0]]
+    for how in (1, 3):
+        assert times(film(lace(0, frames, how), lace(60, frames[:1], 0), each=20_000_000)) == [100, 120, 140, 160]
+        assert times(film(lace(0, frames, how), each=20_000_000, scale=500_000)) == [100, 140, 180]
+        assert times(film(lace(0, frames, how))) == [100, None, None]
+        assert times(film(lace(0, frames, how, m.number(m.LASTS, 30)))) == [100, 110, 120]
+
+
+def test_damaged_files_have_an_error(spark):
+    good = film(lace(0, [b"a", b"bb"], 1), lace(9, [b"c"], 0), each=1_000_000)
+    files = [(i, good[:n]) for i, n in enumerate(range(len(good) + 1))] + [(1000, None), (1001, film(matroska.element(matroska.SIMPLE, b"\x81")))]
+    files += [(2000 + i, bytes(x ^ 255 if i == k else x for k, x in enumerate(good))) for i in range(len(good))]
+    rows = matroska.packet_table(spark.createDataFrame(files, "file_id long, content binary")).collect()
+    bad = {r.file_id for r in rows if r.error}
+    # Cut off inside the segment (its size is known) or inside an element before it, a file is damaged; the whole one isn't.
+    assert 1001 in bad and 1000 not in bad and len(good) not in bad and set(range(30, len(good))) <= bad
+    assert sum(r.file_id == len(good) for r in rows) == 3 and all((r.track is None) == (r.error is not None) for r in rows)
+    assert [r.time_ns for r in rows if r.file_id == len(good)] == [100_000_000, 101_000_000, 109_000_000]
+
+
 def test_matroska_odd(odd):
     got = matroska.media_digests(odd).collect()
     want = sorted(hashlib.sha256(matroska.pad((t or "").encode())).hexdigest() for _, t, _ in ODD)
