@@ -1,11 +1,13 @@
 """Similarity join on sets of 5-word shingles, by chosen paths.
 
 Texts with equal shingle sets form one set.  In a run, each set samples about `roots` of its tokens by a hash that all sets share;
-sets with a sampled token in common meet in its bucket.  A bucket above `split` sets is split again: each set goes on to the
-buckets of further sampled tokens, of which sets that are similar enough share one or more on average, and so on.  Buckets of at
-most `split` sets are compared by brute force.  So are larger ones in which a quarter of the sampled pairs are links, as the
-comparisons are then at most four times the links, and ones that DEPTH splits have not parted; both in blocks of bounded size.
-Each pair is compared in full, on all its tokens, in the first bucket that it shares.
+sets with a sampled token in common meet in its bucket.  Buckets of at most `split` sets are compared by brute force.  A larger
+bucket is split where that pays: each set goes on to the buckets of further sampled tokens, of which sets that are similar enough
+share one or more on average, and so on.  A bounded sample of a bucket's sets tells, by their tokens, how many children two of its
+sets share on average (x).  A split leaves x of the pairs to compare; it pays if it saves each set more than `split` comparisons,
+and if x is at most MEET, as else the further runs that splits take cost more than they save.  Other buckets are compared in
+full, in blocks of bounded size: in those above MEET most sets are near copies, and a share of the pairs are links to count.
+Each pair is compared on all its tokens, in the first bucket that it shares.
 
 Runs are repeated, with fresh samples, until the recall is reached at the depth of splits that was met.  A pair at the threshold
 shares 0.8 * roots roots and 0.8 * FANOUT = 1 children of a node on average, at the least.  The chance s that a shared node still
@@ -41,12 +43,12 @@ ROOTS = 12
 FANOUT = 1.25  # 1 / 0.8: similar sets share one of the next tokens on average, so that unlike ones part
 TARGET = 0.999
 DEPTH = 8
-SPLIT = 256
+SPLIT = 2048
+MEET = 0.8
 BLOCK = 2048
 VOLUME = 1 << 21  # tokens of a block
 TILE = 1024  # rows and columns of the matrix of shared tokens that a task holds
 SAMPLE = 48  # sets, on average, of which all pairs are compared to rate a bucket
-ALIKE = 0.25  # share of links from which on the comparison of a bucket pays
 COMPANY = 0.3  # share of its roots at which a set must meet others
 NUM, DEN = 4, 5  # the threshold, 0.8
 LEAST = 4  # a set of fewer shingles is similar enough to no other: 3 / 4 is below the threshold
@@ -177,18 +179,21 @@ def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _rate(f: pd.DataFrame) -> pd.DataFrame:
-    """The share of links among the pairs of a bucket's sampled sets."""
+    """How many children two of a bucket's sampled sets share, on average."""
     tokens, m = [np.asarray(x, np.int32) for x in f["tokens"]], len(f)
-    share = (linked(tokens, tokens).sum() - m) / (m * (m - 1)) if m > 1 else 0.0
-    return pd.DataFrame({"path": f["path"].iloc[:1], "share": [float(share)]})
+    n = np.array([len(x) for x in tokens])
+    meet = FANOUT * shared_tokens(tokens, tokens) / np.maximum(n[:, None], n[None, :])
+    np.fill_diagonal(meet, 0)
+    return pd.DataFrame({"path": f["path"].iloc[:1], "meet": [float(meet.sum() / max(1, m * (m - 1)))]})
 
 
-def rated(held: DataFrame, large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(path, m, alike) of large buckets, from the true similarity of a bounded sample of each one's sets."""
+def rated(held: DataFrame, large: DataFrame, tokens: DataFrame, split: int) -> DataFrame:
+    """(path, m, pays) of large buckets, from a bounded sample of each one's sets."""
     unit = (F.xxhash64("path", "sig").cast("double") + 2.0**63) / 2.0**64
     some = held.join(large, "path").where(unit * F.col("m") < SAMPLE).select("path", "sig").join(tokens, "sig")
-    shares = some.select("path", "tokens").groupBy("path").applyInPandas(_rate, "path long, share double")
-    return large.join(shares, "path", "left").select("path", "m", (F.coalesce("share", F.lit(0.0)) >= ALIKE).alias("alike"))
+    rates = some.select("path", "tokens").groupBy("path").applyInPandas(_rate, "path long, meet double")
+    x = F.coalesce("meet", F.lit(0.0))
+    return large.join(rates, "path", "left").select("path", "m", ((x <= MEET) & ((1 - x) * F.col("m") > split)).alias("pays"))
 
 
 def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[DataFrame, int, DataFrame | None]:
@@ -204,14 +209,14 @@ def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[Dat
         held = cut(paths.join(large.select("path"), "path", "left_semi"), "large")
         if depth == DEPTH:
             return found.unionByName(held), depth, again
-        rating = cut(rated(held, large, tokens), "rated")
-        found = found.unionByName(held.join(rating.where("alike").select("path"), "path", "left_semi"))
-        unlike = held.join(rating.where("not alike").select("path"), "path", "left_semi")
-        if rating.where("not alike").isEmpty():
+        rating = cut(rated(held, large, tokens, split), "rated")
+        found = found.unionByName(held.join(rating.where("not pays").select("path"), "path", "left_semi"))
+        parted = held.join(rating.where("pays").select("path"), "path", "left_semi")
+        if rating.where("pays").isEmpty():
             return found, depth, again
         if again is None:
-            again = cut(unlike.select("sig").distinct(), "again")
-        paths = cut(children(unlike, tokens, FANOUT).select("path", "sig").distinct(), "children")
+            again = cut(parted.select("sig").distinct(), "again")
+        paths = cut(children(parted, tokens, FANOUT).select("path", "sig").distinct(), "children")
         depth += 1
 
 
@@ -229,48 +234,107 @@ def runs(met: DataFrame, tokens: DataFrame, split: int = SPLIT, roots: float = R
     return found.join(members.groupBy("m", "members").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
 
 
-def _compare(f: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of one block, or between two, of a bucket: star edges, and counts, by tile."""
-    path, one = int(f["path"].iloc[0]), f["i"].iloc[0] == f["j"].iloc[0]
-    f = f.sort_values(["blk", "sig"], ignore_index=True)
-    first = f["blk"] == f["i"]
-    tokens, copies, sig = [np.asarray(x, np.int32) for x in f["tokens"]], f["copies"].to_numpy(np.int64), f["sig"].to_numpy()
-    # Pairs that share an earlier bucket are compared there.
+PAIRS = pa.schema([("sig", pa.binary()), ("other", pa.binary()), ("n_texts", pa.int64()), ("n_links", pa.int64())])
+FEW = 8  # sets of a bucket that are compared pair by pair
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _few(path: int, cross: int, tokens: list[np.ndarray], leaves_: list[np.ndarray]) -> np.ndarray:
+    """Links of a small block, pair by pair; cross: where its second part begins, if only pairs between the two count."""
+    m = len(tokens)
+    link = np.zeros((m, m), bool)
+    for i in range(cross or m):
+        for j in range(max(i + 1, cross), m):
+            n = len(tokens[i]) + len(tokens[j])
+            # Pairs that share an earlier bucket are compared there.
+            if (NUM + DEN) * min(len(tokens[i]), len(tokens[j])) >= NUM * n and not np.isin(leaves_[i][leaves_[i] < path], leaves_[j]).any():
+                link[i, j] = link[j, i] = (NUM + DEN) * len(np.intersect1d(tokens[i], tokens[j], assume_unique=True)) >= NUM * n
+    return link
+
+
+def _least(link: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the least number that it reaches by links within a tile."""
+    while True:
+        na = np.minimum(a, np.where(link, b[None, :], most).min(axis=1))
+        nb = np.minimum(b, np.where(link, na[:, None], most).min(axis=0))
+        if (na == a).all() and (nb == b).all():
+            return na, nb
+        a, b = na, nb
+
+
+def _block(path: int, cross: int, tokens: list[np.ndarray], leaves_: list[np.ndarray], copies: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """All pairs of a block, or between its two parts: set, the least set linked to it, and numbers of sets and documents linked, by tile."""
+    m, out = len(tokens), []
+    if m <= FEW:
+        link = _few(path, cross, tokens, leaves_)
+        k, at = np.flatnonzero(link.any(axis=1)), np.arange(m)
+        return [(k, _least(link, at, at, m)[0][k], link.sum(axis=1)[k], (link @ copies)[k])] if len(k) else []
     earlier: dict[int, list[int]] = {}
-    for i, ls in enumerate(f["leaves"]):
-        for p in ls:
-            if p < path:
-                earlier.setdefault(int(p), []).append(i)
-    shared_before = [np.array(members) for members in earlier.values() if len(members) > 1]
-    tiles = lambda at: [at[k : k + TILE] for k in range(0, len(at), TILE)]
-    rows, columns = tiles(np.flatnonzero(first)), tiles(np.flatnonzero(first if one else ~first))
-    out = []
+    for i, ls in enumerate(leaves_):
+        for p in ls[ls < path].tolist():
+            earlier.setdefault(p, []).append(i)
+    met = [np.array(x) for x in earlier.values() if len(x) > 1]
+    tiles = lambda lo, hi: [np.arange(k, min(k + TILE, hi)) for k in range(lo, hi, TILE)]
+    rows, columns = tiles(0, cross or m), tiles(cross, m)
     for p, a in enumerate(rows):
-        for b in columns[p:] if one else columns:
+        for b in columns if cross else columns[p:]:
             same = a[0] == b[0]
             link = linked([tokens[i] for i in a], [tokens[i] for i in b])
             if same:
                 np.fill_diagonal(link, False)
-            for members in shared_before:
+            for members in met if link.any() else ():
                 x, y = members[(members >= a[0]) & (members <= a[-1])], members[(members >= b[0]) & (members <= b[-1])]
                 if len(x) and len(y):
                     link[np.ix_(x - a[0], y - b[0])] = False
             if not link.any():
                 continue
-            # Each set takes the least number that it reaches within the tile.
-            la, lb = a.copy(), b.copy()
-            while True:
-                na = np.minimum(la, np.where(link, lb[None, :], len(f)).min(axis=1))
-                nb = np.minimum(lb, np.where(link, na[:, None], len(f)).min(axis=0))
-                if (na == la).all() and (nb == lb).all():
-                    break
-                la, lb = na, nb
-            for at, label, texts, docs in ((a, la, link.sum(axis=1), link @ copies[b]), (b, lb, link.sum(axis=0), copies[a] @ link)):
-                k = np.flatnonzero(texts)
-                out.append(pd.DataFrame({"sig": sig[at[k]], "other": sig[label[k]], "n_texts": texts[k], "n_links": docs[k]}))
-                if same:
-                    break
-    return pd.concat(out) if out else pd.DataFrame({"sig": [], "other": [], "n_texts": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64)})
+            la, lb = _least(link, a, b, m)
+            both = ((a, la, link.sum(axis=1), link @ copies[b]), (b, lb, link.sum(axis=0), copies[a] @ link))
+            out += [tuple(x[texts > 0] for x in (at, label, texts, docs)) for at, label, texts, docs in both[: 1 if same else 2]]
+    return out
+
+
+def _blocks(t: pa.Table) -> pa.RecordBatch:
+    """Whole blocks, in order of (path, i, j): star edges, and counts that add up."""
+    path, i, j, blk, copies = (t.column(k).to_numpy() for k in range(5))
+    sig = t.column(5).to_pylist()
+    leaves_, tokens = (_lists(t.column(k).combine_chunks()) for k in (6, 7))
+    edge = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    rows: tuple[list, ...] = ([], [], [], [])
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(path)]):
+        order = lo + np.argsort(blk[lo:hi], kind="stable")
+        cross = 0 if i[lo] == j[lo] else int((blk[lo:hi] == i[lo]).sum())
+        if i[lo] != j[lo] and cross in (0, hi - lo):
+            continue
+        for at, label, texts, docs in _block(int(path[lo]), cross, [tokens[k] for k in order], [leaves_[k] for k in order], copies[order]):
+            rows[0].extend(sig[k] for k in order[at])
+            rows[1].extend(sig[k] for k in order[label])
+            rows[2].extend(texts.tolist())
+            rows[3].extend(docs.tolist())
+    return batch(PAIRS, **dict(zip(PAIRS.names, rows)))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    key = lambda b, k: tuple(b.column(c)[k].as_py() for c in range(3))
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        if key(held[0], 0) == key(b, len(b) - 1):
+            continue  # still within one block, which its size bounds
+        t = pa.Table.from_batches(held)
+        last = key(b, len(b) - 1)
+        same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in enumerate(last)])
+        first = len(same) - int(same[::-1].argmin())
+        yield _blocks(t.slice(0, first))
+        held = t.slice(first).to_batches()
+    if held:
+        yield _blocks(pa.Table.from_batches(held))
 
 
 def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
@@ -296,8 +360,9 @@ def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     own = leaf.groupBy("sig").agg(F.collect_set("path").alias("leaves"))
     rows = leaf.join(sizes, "path").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("g")).cast("int")).join(own, "sig").join(tokens, "sig")
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("blk")).alias("i"), F.greatest(k, F.col("blk")).alias("j")))
-    dealt = rows.withColumn("pair", F.explode(pairs)).select("path", "pair.i", "pair.j", "blk", "sig", "copies", "leaves", "tokens")
-    return cut(dealt.groupBy("path", "i", "j").applyInPandas(_compare, "sig binary, other binary, n_texts long, n_links long"), "links")
+    dealt = rows.withColumn("pair", F.explode(pairs)).select("path", "pair.i", "pair.j", "blk", "copies", "sig", "leaves", "tokens")
+    dealt = dealt.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+    return cut(dealt.mapInArrow(_compared, "sig binary, other binary, n_texts long, n_links long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
