@@ -1,20 +1,21 @@
 """Language identification with hyperdimensional profiles.
 
-A letter's vector is a random row of +1 and -1; a 3-gram's is the product of its letters' vectors, each rotated by its place
-(binding and permuting); a text's is the sum over its 3-grams (bundling), and a language's that over all its texts.  The
-prediction is the language whose profile has the greatest cosine with the text's vector.
+A letter's vector is a row of +1 and -1 that a hash of its code point gives; a 3-gram's is the product of its letters' vectors, each
+rotated by its place (binding and permuting); a text's is the sum over its 3-grams (bundling), and a language's that over all
+its texts.  The prediction is the language whose profile has the greatest cosine with the text's vector.
 
-Text is lower-cased; whatever isn't a letter counts as a blank, and blanks in a row as one.  Letters share 127 slots by rule:
-a-z have their own, all others the slot of their code point modulo the rest.
+Text is lower-cased; whatever isn't a letter counts as a blank, and blanks in a row as one.  Every letter of every script has a
+vector of its own, made where it is first needed.
 
 Rows: null, empty or letterless texts are "und" with score 0, as are all texts where there is nothing to learn from; a null
-id counts as held in; equal cosines go to the language first in order; repeated rows are counted and predicted each; other
-columns are ignored, but for lang_pred and score, which the results replace; recognised() keeps even these.
+id counts as held in; equal cosines go to the language first in order; very long texts are read whole, 3-gram vectors a bounded
+number at once; repeated rows are counted and predicted each; other columns are ignored, but for lang_pred and score, which the
+results replace; recognised() keeps even these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,86 +23,124 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix, table
 
 DIM = 1024
 SEED = 7
-SLOTS = 128  # 0 is the blank
-GRAMS = SLOTS**3
+POINT = 21  # bits of a code point; 0 is the blank
 ROWS = 16_384  # 3-gram vectors held at once
+LETTERS = 8192  # letter vectors held at once
+COUNTED = 1 << 21  # different 3-grams counted by a learning task before they are bundled
+DOCS = 256
 
 
 @cache
-def _slots() -> np.ndarray:
-    """Slot by code point."""
-    points = np.arange(0x110000)
-    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    own = (points >= 97) & (points < 123)
-    return np.where(letter, np.where(own, points - 96, 27 + points % (SLOTS - 27)), 0).astype(np.int32)
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 class Grams:
     """3-grams of texts, and their vectors, made where first needed."""
 
     def __init__(self, dim: int, seed: int):
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SLOTS, dim))
-        self.places = [np.roll(letters, 2 - k, axis=1) for k in range(3)]
-        self.row = np.full(GRAMS, -1, np.int32)
-        self.known = np.zeros((ROWS, dim), np.float32)
-        self.n = 0
+        self.dim, self.seed = dim, seed
+        self.codes, self.letters = np.zeros(0, np.int64), np.zeros((3, 0, dim), np.int8)
+        self.keys, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = np.zeros((0, dim), np.float32)
 
     @staticmethod
     def of(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """Text number and 3-gram numbers, the texts with letters only; each text has a blank before and after it."""
-        slots = _slots()
+        letter = _is_letter()
         for i, text in enumerate(texts):
             if text:
-                s = slots[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+                s = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                s[~letter[s]] = 0
                 keep = s > 0
                 keep[1:] |= s[:-1] > 0
                 keep[0] = True
                 s = s[keep]
                 if len(s) > 2:
-                    yield i, (s[:-2] * SLOTS + s[1:-1]) * SLOTS + s[2:]
+                    yield i, (s[:-2] << 2 * POINT) | (s[1:-1] << POINT) | s[2:]
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of the letters, adding those that aren't there; all are made anew where too many would be held."""
+        new = np.setdiff1d(codes, self.codes)
+        if len(new):
+            if len(self.codes) + len(new) > LETTERS:
+                self.codes, self.letters, new = self.codes[:0], self.letters[:, :0], np.unique(codes)
+            words = -(-self.dim // 64)
+            bits = mix((new.astype(np.uint64)[:, None] << np.uint64(16)) + np.arange(words, dtype=np.uint64)[None, :], self.seed)
+            signs = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1)[:, : self.dim].astype(np.int8) * 2 - 1
+            made = np.stack([np.roll(signs, 2 - k, axis=1) for k in range(3)])
+            order = np.argsort(np.append(self.codes, new), kind="stable")
+            self.codes = np.append(self.codes, new)[order]
+            self.letters = np.concatenate([self.letters, made], axis=1)[:, order]
+        return np.searchsorted(self.codes, codes)
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
-        a, b, c = grams // SLOTS**2, grams // SLOTS % SLOTS, grams % SLOTS
-        return self.places[0][a] * self.places[1][b] * self.places[2][c]
+        low = (1 << POINT) - 1
+        at = self._letters(np.concatenate([grams >> 2 * POINT, grams >> POINT & low, grams & low]))
+        a, b, c = at[: len(grams)], at[len(grams) : 2 * len(grams)], at[2 * len(grams) :]
+        return self.letters[0][a] * self.letters[1][b] * self.letters[2][c]
+
+    def hold(self, grams: np.ndarray) -> None:
+        """Makes the vectors of at most ROWS different 3-grams ready; the old ones go where there would be too many."""
+        new = np.setdiff1d(grams, self.keys)
+        if not len(new):
+            return
+        if len(self.keys) + len(new) > ROWS:
+            self.keys, self.rows, self.known, new = self.keys[:0], self.rows[:0], self.known[:0], np.unique(grams)
+        order = np.argsort(np.append(self.keys, new), kind="stable")
+        self.rows = np.append(self.rows, np.arange(len(self.known), len(self.known) + len(new)))[order]
+        self.keys = np.append(self.keys, new)[order]
+        self.known = np.concatenate([self.known, self.vectors(new).astype(np.float32)])
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the vectors of different 3-grams, times their counts."""
-        out = np.zeros(self.known.shape[1], np.float64)
+        out = np.zeros(self.dim, np.float64)
         for at in range(0, len(grams), ROWS):
             g, c = grams[at : at + ROWS], counts[at : at + ROWS]
-            new = g[self.row[g] < 0]
-            if self.n + len(new) > ROWS:
-                self.row[:], self.n, new = -1, 0, g
-            self.row[new] = np.arange(self.n, self.n + len(new))
-            self.known[self.n : self.n + len(new)] = self.vectors(new)
-            self.n += len(new)
-            out += c.astype(np.float32) @ self.known[self.row[g]]
+            if len(grams) > ROWS or not np.isin(g, self.keys).all():
+                self.hold(g)
+            out += c.astype(np.float32) @ self.known[self.rows[np.searchsorted(self.keys, g)]]
         return out
 
 
+def _counted(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different 3-grams and their counts."""
+    g, c = np.concatenate(grams), np.concatenate(counts)
+    order = np.argsort(g, kind="stable")
+    g, c = g[order], c[order]
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+    return g[first], np.add.reduceat(c, first) if len(first) else c
+
+
 def _learn(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """A partition's profile of each language: (lang, place, value)."""
-    counts: dict[str, np.ndarray] = {}
+    """A partition's profile of each language: (lang, place, value).  Counts are bundled when there are COUNTED of all languages."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    whole: dict[str, np.ndarray] = {}
+    made = Grams(dim, seed)
+
+    def bundled() -> None:
+        for lang, (grams, counts) in held.items():
+            total = whole.setdefault(lang, np.zeros(dim, np.int64))
+            for at in range(0, len(grams), 4096):
+                total += counts[at : at + 4096] @ made.vectors(grams[at : at + 4096]).astype(np.int64)
+        held.clear()
+
     for b in batches:
-        langs = b.column(0).to_pylist()
+        langs, fresh = b.column(0).to_pylist(), {}
         for i, g in Grams.of(b.column(1).to_pylist()):
-            if langs[i] not in counts:
-                counts[langs[i]] = np.zeros(GRAMS, np.int32)
-            total, at = counts[langs[i]], np.sort(g)
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            total[at[first]] += np.diff(np.append(first, len(at))).astype(np.int32)
-    grams = Grams(dim, seed)
-    for lang, total in counts.items():
-        seen = np.flatnonzero(total)
-        whole = np.zeros(dim, np.int64)
-        for at in range(0, len(seen), 4096):
-            g = seen[at : at + 4096]
-            whole += total[g].astype(np.int64) @ grams.vectors(g).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"lang": [lang] * dim, "place": np.arange(dim, dtype=np.int32), "value": whole})
+            fresh.setdefault(langs[i], []).append(g)
+        for lang, grams in fresh.items():
+            g, c = _counted(grams, [np.ones(len(x), np.int64) for x in grams])
+            held[lang] = _counted([held[lang][0], g], [held[lang][1], c]) if lang in held else (g, c)
+        if sum(len(g) for g, _ in held.values()) > COUNTED:
+            bundled()
+    bundled()
+    for lang, total in whole.items():
+        yield pa.RecordBatch.from_pydict({"lang": [lang] * dim, "place": np.arange(dim, dtype=np.int32), "value": total})
 
 
 def profiles(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -114,14 +153,17 @@ def profiles(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str,
 
 def _predicted(texts: list[str | None], grams: Grams, langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
     best, score = ["und"] * len(texts), np.zeros(len(texts))
-    for i, g in Grams.of(texts):
-        at = np.sort(g)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        v = grams.bundle(at[first], np.diff(np.append(first, len(at))))
-        cosines = matrix @ v / max(np.linalg.norm(v), 1e-12)
-        if len(langs):
-            k = int(np.argmax(np.round(cosines, 9)))
-            best[i], score[i] = langs[k], min(1.0, max(0.0, float(np.round(cosines[k], 9))))
+    for at in range(0, len(texts), DOCS):
+        found = [(i, *_counted([g], [np.ones(len(g), np.int64)])) for i, g in Grams.of(texts[at : at + DOCS])]
+        together = np.unique(np.concatenate([*(g for _, g, _ in found), np.zeros(0, np.int64)]))
+        if len(together) <= ROWS:
+            grams.hold(together)
+        for i, g, c in found:
+            v = grams.bundle(g, c)
+            cosines = matrix @ v / max(np.linalg.norm(v), 1e-12)
+            if len(langs):
+                k = int(np.argmax(np.round(cosines, 9)))
+                best[at + i], score[at + i] = langs[k], min(1.0, max(0.0, float(np.round(cosines[k], 9))))
     return best, score
 
 
@@ -142,11 +184,17 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], seed: int = SEED) ->
     return docs.mapInArrow(run, schema)
 
 
-def recognised(docs: DataFrame, known: dict[str, np.ndarray], seed: int = SEED) -> DataFrame:
-    """The documents with a predicted language, with all their columns as they are."""
+def recognised(docs: DataFrame, known: dict[str, np.ndarray], keep: Collection[str] | None = None, least: float = 0.0, seed: int = SEED) -> DataFrame:
+    """The documents whose predicted language is one of `keep` (None: any that was learned) with a score of `least` or more, with all
+    their columns as they are.  Where nothing was learned there is no ground to reject a text, and all with a letter stay."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     names[docs.columns.index("text")] = "text"
-    return predict(docs.toDF(*names), known, seed).where("lang_pred <> 'und'").select(names).toDF(*docs.columns)
+    rows = docs.toDF(*names)
+    if not known:
+        return rows.where(F.col("text").rlike(r"\p{L}")).toDF(*docs.columns)
+    told = predict(rows, known, seed)
+    wanted = F.col("lang_pred") != "und" if keep is None else F.col("lang_pred").isin(list(keep))
+    return told.where(wanted & (F.col("lang_pred") != "und") & (F.col("score") >= least)).select(names).toDF(*docs.columns)
 
 
 def held_out() -> Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, cut, table, utf8
+from .common import Workspace, batch, cut, mix, removed, table, utf8
 from .decontaminate import Words
 
 SHINGLE = 5
@@ -74,14 +74,6 @@ def lost_to_company(n: int, roots: float = ROOTS) -> float:
     return sum(chance(k, shared) * chance(j, n - shared) for j in range(n - shared + 1) for k in range(1, shared + 1) if k < math.floor((k + j) * COMPANY))
 
 
-def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A well-spread 64-bit hash of 64-bit numbers."""
-    x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def sets_of(offsets: np.ndarray, data: np.ndarray, words: Words) -> Iterator[np.ndarray]:
     """The sorted different shingle hashes of each text."""
     _, _, h, first = words.of(offsets, data)
@@ -222,14 +214,15 @@ def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[Dat
 
 def runs(met: DataFrame, tokens: DataFrame, split: int = SPLIT, roots: float = ROOTS, target: float = TARGET) -> DataFrame:
     """(path, sig) of the buckets to compare, of as many runs as the target takes; buckets with the same members once."""
-    found, depth, again = leaves(met, tokens, split)
-    run = 1
-    while again is not None and run < runs_needed(depth, roots, target):
-        # A run's number stands for its root.
-        rooted = children(again.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct()
-        more, deep, again = leaves(cut(rooted, f"run-{run}"), tokens, split)
-        found, depth, run = found.unionByName(more), max(depth, deep), run + 1
-    found = cut(found, "found")
+    with Workspace(met.sparkSession) as tables:
+        found, depth, again = leaves(met, tokens, split)
+        run = 1
+        while again is not None and run < runs_needed(depth, roots, target):
+            # A run's number stands for its root.
+            rooted = children(again.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct()
+            more, deep, again = leaves(cut(rooted, f"run-{run}"), tokens, split)
+            found, depth, run = found.unionByName(more), max(depth, deep), run + 1
+        found = tables.keep(cut(found, "found"))
     members = found.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"))
     return found.join(members.groupBy("m", "members").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
 
@@ -339,6 +332,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(sig, other, n_texts, n_links), of which a sig has several rows: star edges, and counts that add up."""
+    with Workspace(sets.sparkSession) as tables:
+        return tables.keep(cut(_links(sets, split, block), "links"))
+
+
+def _links(sets: DataFrame, split: int, block: int) -> DataFrame:
     named = sets.where("sig is not null")
     counts = named.groupBy("sig").agg(F.count("*").alias("copies"))
     met = cut(named.where(F.col("n") >= LEAST).select("sig", F.size("roots").alias("r"), F.explode("roots").alias("path")).distinct(), "paths")
@@ -362,13 +360,13 @@ def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("blk")).alias("i"), F.greatest(k, F.col("blk")).alias("j")))
     dealt = rows.withColumn("pair", F.explode(pairs)).select("path", "pair.i", "pair.j", "blk", "copies", "sig", "leaves", "tokens")
     dealt = dealt.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    return cut(dealt.mapInArrow(_compared, "sig binary, other binary, n_texts long, n_links long"), "links")
+    return dealt.mapInArrow(_compared, "sig binary, other binary, n_texts long, n_links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(sig, root) of a graph given as (sig, other), by alternating large and small stars until nothing moves."""
     edges = edges.where("sig <> other").select(F.greatest("sig", "other").alias("u"), F.least("sig", "other").alias("v")).distinct()
-    before = None
+    before, last = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -376,6 +374,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         edges = cut(small, "stars")
+        if last:
+            removed(edges.sparkSession, last)
+        last = edges.written_at
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("sig"), F.col("v").alias("root"))

@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, cut, table, utf8
+from .common import batch, cut, mix, table, utf8
 from .decontaminate import _powers
-from .similarity import mix
 
 WIDTH = 100
 GRAM = 16

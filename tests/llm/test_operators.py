@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import chat, decontaminate, language, licenses, matroska, packing, secrets, similarity, suffixes, urls
 
 SF = "/root/testdata/sf0.001"
@@ -48,16 +50,44 @@ def test_language_odd(odd):
     assert language.profiles(odd.limit(0)) == {}
 
 
-def test_language_vector_is_the_bundle():
-    grams, text = language.Grams(64, 3), "Été là, abab abab"
-    (_, g), = grams.of([text])
-    slots = [0]
-    for c in text.lower() + " ":
-        s = int(language._slots()[ord(c)])
-        slots += [s] if s or slots[-1] else []
-    want = sum(np.prod([np.roll(grams.places[2][slots[i + k]], 2 - k) for k in range(3)], axis=0).astype(int) for i in range(len(slots) - 2))
-    seen, n = np.unique(g, return_counts=True)
-    assert (grams.bundle(seen, n) == want).all()
+def test_language_vector_is_the_bundle(monkeypatch):
+    text = "Été là, abab abab 日本語 Привет"
+    for rows, letters in ((16_384, 8192), (3, 2)):
+        monkeypatch.setattr(language, "ROWS", rows)
+        monkeypatch.setattr(language, "LETTERS", letters)
+        grams = language.Grams(64, 3)
+        (_, g), = grams.of([text])
+        symbols = [0]
+        for c in text.lower() + " ":
+            symbols += [ord(c)] if c.isalpha() else [0] if symbols[-1] else []
+        row = {c: language.Grams(64, 3).vectors(np.array([(c << 42) | (c << 21) | c])) for c in set(symbols)}
+        made = language.Grams(64, 3)
+        made._letters(np.array(sorted(set(symbols))))
+        vector = {c: made.letters[2][made._letters(np.array([c]))[0]] for c in sorted(row)} if letters > 2 else vector  # noqa: F821
+        want = sum(np.prod([np.roll(vector[symbols[i + k]], 2 - k) for k in range(3)], axis=0).astype(int) for i in range(len(symbols) - 2))
+        seen, n = np.unique(g, return_counts=True)
+        assert (grams.bundle(seen, n) == want).all()
+    # Letters of different scripts have vectors of their own.
+    assert len({v.tobytes() for v in vector.values()}) == len(vector)
+
+
+def test_language_learns_the_same_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"lang": ["a", "b", "a"], "text": ["one two three", "日本語 テスト", "four five"]})
+    learned = lambda: {(x["lang"], x["place"]): x["value"] for b in language._learn(iter([rows, rows]), 64, 1) for x in b.to_pylist()}
+    whole = learned()
+    monkeypatch.setattr(language, "COUNTED", 1)
+    assert learned() == whole and len(whole) == 128
+
+
+def test_recognised_keeps_by_language_and_score(spark):
+    rows = [(1, "der die das und nicht ein", "de"), (2, "the of and that which", "en"), (3, None, "en"), (4, "12 ..", None), (5, "the that and", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.profiles(df)
+    ids = lambda **how: {r.doc_id for r in language.recognised(df, known, **how).collect()}
+    assert ids() == {1, 2, 5} and ids(keep=["en"]) == {2, 5} and ids(least=1.1) == set() and ids(keep=[]) == set()
+    assert {r.doc_id for r in language.recognised(df, {}).collect()} == {1, 2, 5}
 
 
 BASE = (("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16))
@@ -544,12 +574,112 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and said(got) == said(want)
 
 
+def components(sets):
+    """Class id by document, from all pairs."""
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if x and y and i < j and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    got = corpus_pipeline.run(spark, SF)
-    ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
-    rows = [(i, t) for i, t in texts(docs) if re.search(r"[^\W\d_]", t or "")]
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    told = {r.doc_id: r for r in language.predict(docs, language.profiles(docs)).collect()}
+    rows = {i: t for i, t in texts(docs) if re.search(r"[^\W\d_]", t or "") and told[i].score >= corpus_pipeline.LEAST}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    classes = {r.doc_id: r.class_id for r in similarity.classes(docs.where(docs.doc_id.isin([i for i, _ in rows]))).collect()}
-    assert ids == {i for i, t in rows if classes[i] == i and not hits(t, bench)[1]}
+    classes = components({i: shingles(t) for i, t in rows.items()})
+    want = {i: t for i, t in rows.items() if classes[i] == i and not hits(t, bench)[1]}
+    assert set(got.doc_id) == set(want)
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert not any(base_spans(clean[i]) for i in want) and all(clean[i] == t for i, t in want.items() if not base_spans(t) and "ghp_" not in t)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = got.groupby("doc_id").length.sum()
+    assert all(n[i] == len(t.encode(clean[i], add_special_tokens=False).ids) + 1 for i in want)
+
+
+def test_pipeline_of_odd_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = odd.selectExpr("doc_id", "text", "lang", "'s' source", "cast(length(text) as bigint) n_chars").select(columns)
+    for name, df, bench in (("empty", rows.limit(0), 1), ("unlabelled", rows.withColumn("lang", F.lit(None).cast("string")), 0), ("odd", rows, 1)):
+        d = str(tmp_path / name)
+        df.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, "no such words")] * bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs_ = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs_, d).columns == columns
+        ids = {r.doc_id for r in corpus_pipeline.run(spark, d).collect()}
+        # Of the copies of 5 one stays, and of its near copies; "a" and the text of x are one of a kind.
+        assert ids >= {8, 9} - ({9} if name == "odd" else set()) and not ids & {1, 2, 6, 7} if name != "empty" else not ids
+
+
+def test_workspaces_remove_their_tables(spark):
+    import os
+
+    from lodestone.llm.common import Workspace, cut
+
+    where = lambda df: df.written_at.removeprefix("file://")
+    with Workspace(spark) as outer:
+        with Workspace(spark) as inner:
+            a, b = cut(spark.range(3), "a"), inner.keep(cut(spark.range(4), "b"))
+        assert not os.path.exists(where(a)) and b.count() == 4
+        c = outer.keep(cut(b, "c"))
+    assert not os.path.exists(where(b)) and c.count() == 4
+
+
+def test_ids_of_whole_documents(docs, odd):
+    # Every piece against the tokenizers library's plain call on the whole text.
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        got = {}
+        for r in packing.pieces(df).orderBy("doc_id", "piece").collect():
+            got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        for i, x in texts(df):
+            ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+            cuts = [0, *range(len(ids) % 1024 or min(len(ids), 1024), len(ids) + 1, 1024)]
+            assert got[i] == [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
+def test_bins_against_the_optimum(lengths):
+    # All partitions of a few items into bins of 12, against best fit and the bound.
+    def least(rest, bins, best):
+        if len(bins) >= best:
+            return best
+        if not rest:
+            return len(bins)
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= 12:
+                best = least(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]], best)
+        return least(rest[1:], [*bins, rest[0]], best)
+
+    optimum, a = least(sorted(lengths, reverse=True), [], len(lengths) + 1), np.array(lengths)
+    assert packing.lower_bound(a, 12) <= optimum <= packing.best_fit(a, 12)[2] <= 11 * optimum / 9 + 6 / 9
+
+
+def test_clashing_columns_of_rows(spark, odd):
+    named = odd.selectExpr("*", "'x' segments", "'y' spans", "1 rid", "2 part", "3 bin", "'k' key")
+    assert packing.pieces(named).count() == packing.pieces(odd).count()
+    turns = spark.createDataFrame([(1, 0, "user", "q", "a", "b"), (1, 1, "assistant", "r", "c", "d")], "conv_id long, turn long, role string, text string, segments string, state string")
+    assert chat.read_back(chat.formatted(turns)).first().n_turns == 2
+    caps = spark.sql("select 1 page_id, 'http://a.com' url, date'2020-02-01' fetched, 'x' key, 'y' spans, 3 n_rows, 'z' active")
+    lists = urls.intervals(spark.sql("select 'a.com' key, date'2020-01-01' day, 'add' action, 'block' verdict, 1 until"))
+    assert urls.evaluate(caps, lists).first().blocked and urls.evaluate(caps.limit(0), lists).count() == 0
