@@ -10,10 +10,10 @@ full, in blocks of bounded size: in those above MEET most sets are near copies,
 Each pair is compared on all its tokens, in the first bucket that it shares.
 
 Runs are repeated, with fresh samples, until the recall is reached at the depth of splits that was met.  A pair at the threshold
-shares 0.8 * roots roots and 0.8 * FANOUT = 1 children of a node on average, at the least.  The chance s that a shared node still
-has a shared path d splits below follows s(0) = 1, s(d + 1) = 1 - exp(-s(d)); a run misses the pair with chance
-exp(-0.8 * roots * s(d)).  Only sets that stood in a split bucket run again: a pair whose shared roots include one that was not split
-has met.
+shares each root of its sets with a chance of 0.8, and 0.8 * FANOUT = 1 children of a node on average, at the least.  The chance s that
+a shared node still has a shared path d splits below follows s(0) = 1, s(d + 1) = 1 - exp(-s(d)).  So of a set's roots one that was not
+split misses a partner with a chance of 0.2, and one that was, of 1 - 0.8 * s(d); a set runs again while the product over its
+roots, of all runs, is above 1 - TARGET.
 
 What leaves a bucket are counts and stars of links, never its pairs.  Buckets with the same members are compared once.
 Connected components of the links (alternating large and small stars) are the classes.
@@ -62,9 +62,9 @@ def survival(depth: int) -> float:
     return s
 
 
-def runs_needed(depth: int, roots: float = ROOTS, target: float = TARGET) -> int:
-    """Runs after which a pair at the threshold has met with the target's chance, if no bucket is split more than `depth` times."""
-    return max(1, math.ceil(math.log(1 - target) / (-NUM / DEN * roots * survival(depth))))
+def missed(depth: int) -> tuple[float, float]:
+    """Logarithms of the chances to miss a partner at a root that was not split, and at one that was, down to a depth."""
+    return math.log(1 - NUM / DEN), math.log(1 - NUM / DEN * survival(depth))
 
 
 def lost_to_company(n: int, roots: float = ROOTS) -> float:
@@ -189,39 +189,48 @@ def rated(held: DataFrame, large: DataFrame, tokens: DataFrame, split: int) -> D
 
 
 def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[DataFrame, int, DataFrame | None]:
-    """One run: (path, sig) of the buckets to compare, the number of splits made below a root, and the sets that stood in split roots."""
-    found, again, depth = None, None, 0
+    """One run: (path, sig) of the buckets to compare, the number of splits made below a root, and how many split roots (k) each set
+    has that has any."""
+    found, cleft, depth = None, None, 0
     while True:
         sizes = cut(paths.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
         small = paths.join(sizes.where(F.col("m") <= split).select("path"), "path", "left_semi")
         found = small if found is None else found.unionByName(small)
         large = sizes.where(F.col("m") > split)
         if large.isEmpty():
-            return found, depth, again
+            return found, depth, cleft
         held = cut(paths.join(large.select("path"), "path", "left_semi"), "large")
         if depth == DEPTH:
-            return found.unionByName(held), depth, again
+            return found.unionByName(held), depth, cleft
         rating = cut(rated(held, large, tokens, split), "rated")
         found = found.unionByName(held.join(rating.where("not pays").select("path"), "path", "left_semi"))
-        parted = held.join(rating.where("pays").select("path"), "path", "left_semi")
         if rating.where("pays").isEmpty():
-            return found, depth, again
-        if again is None:
-            again = cut(parted.select("sig").distinct(), "again")
+            return found, depth, cleft
+        parted = held.join(rating.where("pays").select("path"), "path", "left_semi")
+        if cleft is None:
+            cleft = cut(parted.groupBy("sig").agg(F.count("*").alias("k")), "cleft")
         paths = cut(children(parted, tokens, FANOUT).select("path", "sig").distinct(), "children")
         depth += 1
 
 
-def runs(met: DataFrame, tokens: DataFrame, split: int = SPLIT, roots: float = ROOTS, target: float = TARGET) -> DataFrame:
-    """(path, sig) of the buckets to compare, of as many runs as the target takes; buckets with the same members once."""
+def runs(met: DataFrame, tokens: DataFrame, rooted: DataFrame, split: int = SPLIT, roots: float = ROOTS, target: float = TARGET) -> DataFrame:
+    """(path, sig) of the buckets to compare, of as many runs as the target takes; buckets with the same members once.
+    rooted: how many roots (r) each set has in the first run."""
     with Workspace(met.sparkSession) as tables:
-        found, depth, again = leaves(met, tokens, split)
-        run = 1
-        while again is not None and run < runs_needed(depth, roots, target):
+        found, depth, cleft = leaves(met, tokens, split)
+        risks, run = rooted.select("sig", "r", F.lit(0.0).alias("lost")), 1
+        while cleft is not None:
+            # Sets without a split root have met their partners, or none.
+            whole, parted = missed(depth)
+            lost = F.col("lost") + (F.col("r") - F.col("k")) * whole + F.col("k") * parted
+            risks = cut(risks.join(cleft, "sig").select("sig", lost.alias("lost")).where(F.col("lost") > math.log(1 - target)), "risks")
+            if risks.isEmpty():
+                break
             # A run's number stands for its root.
-            rooted = children(again.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct()
-            more, deep, again = leaves(cut(rooted, f"run-{run}"), tokens, split)
-            found, depth, run = found.unionByName(more), max(depth, deep), run + 1
+            fresh = cut(children(risks.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct(), f"run-{run}")
+            risks = risks.join(fresh.groupBy("sig").agg(F.count("*").alias("r")), "sig").select("sig", "r", "lost")
+            more, depth, cleft = leaves(fresh, tokens, split)
+            found, run = found.unionByName(more), run + 1
         found = tables.keep(cut(found, "found"))
     members = found.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"))
     return found.join(members.groupBy("m", "members").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
@@ -350,7 +359,8 @@ def _links(sets: DataFrame, split: int, block: int) -> DataFrame:
     # One row of each set that meets another, with its tokens.
     wanted = met.select("sig").distinct()
     tokens = cut(named.join(wanted, "sig", "left_semi").select("sig", "n", "tokens").dropDuplicates(["sig"]).join(counts, "sig"), "tokens")
-    leaf = cut(runs(met, tokens.select("sig", "tokens"), split), "leaves")
+    rooted = named.join(wanted, "sig", "left_semi").select("sig", F.size("roots").alias("r")).distinct()
+    leaf = cut(runs(met, tokens.select("sig", "tokens"), rooted, split), "leaves")
     volume = leaf.join(tokens.select("sig", "n"), "sig").groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     # Blocks grow with a bucket, so that a set isn't sent once for every 2048 others.
     g = F.greatest(F.least(F.ceil(F.col("m") / block), F.lit(32)), F.ceil(F.col("m") / (8 * block)), F.ceil(F.col("t") / VOLUME))

@@ -351,17 +351,19 @@ def test_similarity(spark, docs, split):
 
 
 def test_paths_outlast_splits():
-    # Pairs at the threshold: the smaller set lies in the larger, every bucket is split; each depth has the runs that it takes.
+    # Pairs at the threshold: the smaller set lies in the larger, every bucket is split; each has the runs that its depth takes.
     met, pairs = np.zeros(7, int), 1000
     tokens = np.random.default_rng(5).integers(0, 2**32, (pairs, 100)).astype(np.uint64)
     for a in tokens:
-        b, found = a[:80], np.zeros(7, bool)
-        for run in range(similarity.runs_needed(6)):
+        b, found, lost = a[:80], np.zeros(7, bool), np.zeros(7)
+        for run in range(8):
+            open_ = lost > np.log(1 - similarity.TARGET)
             shared = [run]
             for depth in range(7):
                 n = similarity.FANOUT if depth else similarity.ROOTS
                 shared = [p for x in shared for p in np.intersect1d(similarity.sampled(a, x, n, 100), similarity.sampled(b, x, n, 80)).tolist()]
-                found[depth] |= bool(shared) and run < similarity.runs_needed(depth)
+                found[depth] |= bool(shared) and open_[depth]
+            lost += len(similarity.sampled(a, run, similarity.ROOTS, 100)) * np.array([similarity.missed(d)[1] for d in range(7)])
         met += found
     assert (met >= 0.998 * pairs).all()
 
@@ -378,7 +380,7 @@ def test_a_common_passage_does_not_keep_buckets_together(spark):
     sets = similarity.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))
     met = sets.selectExpr("sig", "explode(roots) path")
     assert not met.groupBy("path").count().where("count > 2500").isEmpty()
-    leaf = similarity.runs(met, sets.select("sig", "tokens"), split=256)
+    leaf = similarity.runs(met, sets.select("sig", "tokens"), sets.selectExpr("sig", "size(roots) r"), split=256)
     assert leaf.groupBy("path").count().where("count > 512").isEmpty()
     # Of near copies, all pairs are links, and they are compared at once.
     near = [(i, " ".join(f"n{k}" for k in range(100)) + f" end{i}") for i in range(600)]
@@ -657,6 +659,18 @@ def test_ids_of_whole_documents(docs, odd):
             assert got[i] == [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
+def test_other_vocabularies_raise(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    asked = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    for k, v in (("pre_tokenizer", {"type": "Whitespace"}), ("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})):
+        (tmp_path / "v.json").write_text(json.dumps({**asked, k: v}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            packing.Ids(str(tmp_path / "v.json"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
 def test_bins_against_the_optimum(lengths):
