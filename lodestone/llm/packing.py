@@ -5,12 +5,13 @@ rest is dealt evenly to partitions, each packed by best-fit decreasing; dual fea
 sequences that a partition needs.  A partition that meets its bound is certified and done.  Those with a gap exchange pieces
 (they are dealt anew among each other) and are packed again; a round counts only if it saves sequences.
 
-Rows: a null text is empty and has the single id 2; repeated rows are packed each; null ids stay null; other columns are
-ignored; no documents, no pieces.
+Rows: a null text is empty and has the single id 2; a very long text is encoded whole in its task and makes many pieces; repeated
+rows are packed each; null ids stay null; other columns are ignored; no documents, no pieces.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
+        _check(tokenizer)
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=_ranks(tokenizer), special_tokens={})
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.names = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -77,6 +79,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 JOINING = re.compile(r"\s (?:\s|\Z)")
 
 
+def _check(tokenizer) -> None:
+    """ValueError unless the vocabulary's file asks for what Ids does: byte-level, by PATTERN, with nothing before or after."""
+    asked = json.loads(tokenizer.to_str())
+    first, model = asked["pre_tokenizer"] or {}, asked["model"]
+    if first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+        raise ValueError(f"the vocabulary splits texts in another way: {first}")
+    if model.get("type") != "BPE" or asked["normalizer"] or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        raise ValueError("the vocabulary isn't plain byte-level BPE")
+
+
 def _ranks(tokenizer) -> dict[bytes, int]:
     """Byte strings of a byte-level vocabulary and their ids, without its special tokens.  Its file writes bytes as printable
     characters: printable Latin-1 as itself, the others in order from U+0100."""
