@@ -15,7 +15,7 @@ results replace; recognised() keeps even these.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,8 +30,7 @@ SEED = 7
 POINT = 21  # bits of a code point; 0 is the blank
 ROWS = 16_384  # 3-gram vectors held at once
 LETTERS = 8192  # letter vectors held at once
-COUNTED = 1 << 21  # different 3-grams counted by a learning task before they are bundled
-DOCS = 256
+COUNTED = 1 << 20  # 3-grams with counts that a learning task holds before they are merged or bundled
 
 
 @cache
@@ -46,13 +45,14 @@ class Grams:
         self.dim, self.seed = dim, seed
         self.codes, self.letters = np.zeros(0, np.int64), np.zeros((3, 0, dim), np.int8)
         self.keys, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.known = np.zeros((0, dim), np.float32)
+        self.known = np.zeros((ROWS, dim), np.float32)
 
     @staticmethod
-    def of(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    def of(texts: Iterable) -> Iterator[tuple[int, np.ndarray]]:
         """Text number and 3-gram numbers, the texts with letters only; each text has a blank before and after it."""
         letter = _is_letter()
         for i, text in enumerate(texts):
+            text = text.as_py() if isinstance(text, pa.Scalar) else text
             if text:
                 s = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
                 s[~letter[s]] = 0
@@ -85,60 +85,77 @@ class Grams:
         return self.letters[0][a] * self.letters[1][b] * self.letters[2][c]
 
     def hold(self, grams: np.ndarray) -> None:
-        """Makes the vectors of at most ROWS different 3-grams ready; the old ones go where there would be too many."""
-        new = np.setdiff1d(grams, self.keys)
-        if not len(new):
-            return
+        """Makes the vectors of at most ROWS different 3-grams, in order, ready; the old ones go where there would be too many."""
+        new = np.setdiff1d(grams, self.keys, assume_unique=True)
         if len(self.keys) + len(new) > ROWS:
-            self.keys, self.rows, self.known, new = self.keys[:0], self.rows[:0], self.known[:0], np.unique(grams)
-        order = np.argsort(np.append(self.keys, new), kind="stable")
-        self.rows = np.append(self.rows, np.arange(len(self.known), len(self.known) + len(new)))[order]
-        self.keys = np.append(self.keys, new)[order]
-        self.known = np.concatenate([self.known, self.vectors(new).astype(np.float32)])
+            self.keys, self.rows, new = self.keys[:0], self.rows[:0], grams
+        n = len(self.keys)
+        at = np.searchsorted(self.keys, new)
+        self.keys, self.rows = np.insert(self.keys, at, new), np.insert(self.rows, at, np.arange(n, n + len(new)))
+        self.known[n : n + len(new)] = self.vectors(new)
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the vectors of different 3-grams, times their counts."""
         out = np.zeros(self.dim, np.float64)
         for at in range(0, len(grams), ROWS):
             g, c = grams[at : at + ROWS], counts[at : at + ROWS]
-            if len(grams) > ROWS or not np.isin(g, self.keys).all():
+            k = self._at(g)
+            if k is None:
                 self.hold(g)
-            out += c.astype(np.float32) @ self.known[self.rows[np.searchsorted(self.keys, g)]]
+                k = self._at(g)
+            out += c.astype(np.float32) @ self.known[k]
         return out
 
+    def _at(self, grams: np.ndarray) -> np.ndarray | None:
+        """Rows of the 3-grams, if all are held."""
+        if not len(self.keys):
+            return None
+        k = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        return self.rows[k] if (self.keys[k] == grams).all() else None
 
-def _counted(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Different 3-grams and their counts."""
-    g, c = np.concatenate(grams), np.concatenate(counts)
+
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's different 3-grams, in order, and their counts."""
+    g = np.sort(grams)
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    return g[first], np.diff(np.append(first, len(g)))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different 3-grams of several texts and their counts."""
+    g, c = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(g, kind="stable")
     g, c = g[order], c[order]
-    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
-    return g[first], np.add.reduceat(c, first) if len(first) else c
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    return g[first], np.add.reduceat(c, first)
+
+
+def _bundled(held: dict[str, list], whole: dict[str, np.ndarray], made: Grams) -> None:
+    """Adds counted 3-grams to the languages' profiles."""
+    for lang, parts in held.items():
+        grams, counts = _merged(parts)
+        total = whole.setdefault(lang, np.zeros(made.dim, np.int64))
+        for at in range(0, len(grams), 4096):
+            total += counts[at : at + 4096] @ made.vectors(grams[at : at + 4096]).astype(np.int64)
 
 
 def _learn(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[pa.RecordBatch]:
     """A partition's profile of each language: (lang, place, value).  Counts are bundled when there are COUNTED of all languages."""
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     whole: dict[str, np.ndarray] = {}
-    made = Grams(dim, seed)
-
-    def bundled() -> None:
-        for lang, (grams, counts) in held.items():
-            total = whole.setdefault(lang, np.zeros(dim, np.int64))
-            for at in range(0, len(grams), 4096):
-                total += counts[at : at + 4096] @ made.vectors(grams[at : at + 4096]).astype(np.int64)
-        held.clear()
-
+    made, size = Grams(dim, seed), 0
     for b in batches:
-        langs, fresh = b.column(0).to_pylist(), {}
-        for i, g in Grams.of(b.column(1).to_pylist()):
-            fresh.setdefault(langs[i], []).append(g)
-        for lang, grams in fresh.items():
-            g, c = _counted(grams, [np.ones(len(x), np.int64) for x in grams])
-            held[lang] = _counted([held[lang][0], g], [held[lang][1], c]) if lang in held else (g, c)
-        if sum(len(g) for g, _ in held.values()) > COUNTED:
-            bundled()
-    bundled()
+        langs = b.column(0).to_pylist()
+        for i, g in Grams.of(b.column(1)):
+            held.setdefault(langs[i], []).append(_distinct(g))
+            size += len(held[langs[i]][-1][0])
+            if size > COUNTED:
+                held = {lang: [_merged(parts)] for lang, parts in held.items()}
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if size > COUNTED // 2:
+                    _bundled(held, whole, made)
+                    held, size = {}, 0
+    _bundled(held, whole, made)
     for lang, total in whole.items():
         yield pa.RecordBatch.from_pydict({"lang": [lang] * dim, "place": np.arange(dim, dtype=np.int32), "value": total})
 
@@ -151,19 +168,14 @@ def profiles(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str,
     return {r.lang: np.array(r.value, np.float64) for r in sorted(rows, key=lambda r: r.lang)}
 
 
-def _predicted(texts: list[str | None], grams: Grams, langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+def _predicted(texts: pa.Array | list, grams: Grams, langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
     best, score = ["und"] * len(texts), np.zeros(len(texts))
-    for at in range(0, len(texts), DOCS):
-        found = [(i, *_counted([g], [np.ones(len(g), np.int64)])) for i, g in Grams.of(texts[at : at + DOCS])]
-        together = np.unique(np.concatenate([*(g for _, g, _ in found), np.zeros(0, np.int64)]))
-        if len(together) <= ROWS:
-            grams.hold(together)
-        for i, g, c in found:
-            v = grams.bundle(g, c)
-            cosines = matrix @ v / max(np.linalg.norm(v), 1e-12)
-            if len(langs):
-                k = int(np.argmax(np.round(cosines, 9)))
-                best[at + i], score[at + i] = langs[k], min(1.0, max(0.0, float(np.round(cosines[k], 9))))
+    for i, g in Grams.of(texts):
+        v = grams.bundle(*_distinct(g))
+        cosines = matrix @ v / max(np.linalg.norm(v), 1e-12)
+        if len(langs):
+            k = int(np.argmax(np.round(cosines, 9)))
+            best[i], score[i] = langs[k], min(1.0, max(0.0, float(np.round(cosines[k], 9))))
     return best, score
 
 
@@ -178,7 +190,7 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], seed: int = SEED) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(dim, seed)
         for b in batches:
-            best, score = _predicted(b.column(column).to_pylist(), grams, langs, matrix)
+            best, score = _predicted(b.column(column), grams, langs, matrix)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
