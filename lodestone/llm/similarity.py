@@ -3,8 +3,8 @@
 Texts with equal shingle sets form one set.  In a run, each set samples about `roots` of its tokens by a hash that all sets share;
 sets with a sampled token in common meet in its bucket.  Buckets of at most `split` sets are compared by brute force.  A larger
 bucket is split where that pays: each set goes on to the buckets of further sampled tokens, of which sets that are similar enough
-share one or more on average, and so on.  A bounded sample of a bucket's sets tells, by their tokens, how many children two of its
-sets share on average (x).  A split leaves x of the pairs to compare; it pays if it saves each set more than `split` comparisons,
+share one or more on average, and so on.  The roots of a bounded sample of a bucket's sets, which are sampled tokens themselves,
+tell how many children two of its sets share on average (x).  A split leaves x of the pairs to compare; it pays if it saves each set more than `split` comparisons,
 and if x is at most MEET, as else the further runs that splits take cost more than they save.  Other buckets are compared in
 full, in blocks of bounded size: in those above MEET most sets are near copies, and a share of the pairs are links to count.
 Each pair is compared on all its tokens, in the first bucket that it shares.
@@ -171,27 +171,28 @@ def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _rate(f: pd.DataFrame) -> pd.DataFrame:
-    """How many children two of a bucket's sampled sets share, on average."""
-    tokens, m = [np.asarray(x, np.int32) for x in f["tokens"]], len(f)
-    n = np.array([len(x) for x in tokens])
-    meet = FANOUT * shared_tokens(tokens, tokens) / np.maximum(n[:, None], n[None, :])
+    """How many children two of a bucket's sampled sets share, on average, by their roots but for the one that brought them here."""
+    roots, m = [np.asarray(x, np.int64) for x in f["roots"]], len(f)
+    n = f["r"].to_numpy(np.float64)
+    meet = FANOUT * np.maximum(shared_tokens(roots, roots) - 1, 0) / np.maximum(np.maximum(n[:, None], n[None, :]) - 1, 1)
     np.fill_diagonal(meet, 0)
     return pd.DataFrame({"path": f["path"].iloc[:1], "meet": [float(meet.sum() / max(1, m * (m - 1)))]})
 
 
-def rated(held: DataFrame, large: DataFrame, tokens: DataFrame, split: int) -> DataFrame:
+def rated(held: DataFrame, large: DataFrame, rooted: DataFrame, split: int) -> DataFrame:
     """(path, m, pays) of large buckets, from a bounded sample of each one's sets."""
     unit = (F.xxhash64("path", "sig").cast("double") + 2.0**63) / 2.0**64
-    some = held.join(large, "path").where(unit * F.col("m") < SAMPLE).select("path", "sig").join(tokens, "sig")
-    rates = some.select("path", "tokens").groupBy("path").applyInPandas(_rate, "path long, meet double")
+    some = held.join(large, "path").where(unit * F.col("m") < SAMPLE).select("path", "sig").join(rooted, "sig")
+    rates = some.select("path", "roots", "r").groupBy("path").applyInPandas(_rate, "path long, meet double")
     x = F.coalesce("meet", F.lit(0.0))
     return large.join(rates, "path", "left").select("path", "m", ((x <= MEET) & ((1 - x) * F.col("m") > split)).alias("pays"))
 
 
-def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[DataFrame, int, DataFrame | None]:
-    """One run: (path, sig) of the buckets to compare, the number of splits made below a root, and how many split roots (k) each set
-    has that has any."""
-    found, cleft, depth = None, None, 0
+def leaves(first: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[DataFrame, int, DataFrame | None]:
+    """One run from its roots, (path, sig, r: the set's number of roots): (path, sig) of the buckets to compare, the number of splits made
+    below a root, and of each set with a split root r and how many were split (k)."""
+    found, cleft, depth, paths = None, None, 0, first.select("path", "sig")
+    rooted = first.groupBy("sig").agg(F.collect_list("path").alias("roots"), F.first("r").alias("r"))
     while True:
         sizes = cut(paths.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
         small = paths.join(sizes.where(F.col("m") <= split).select("path"), "path", "left_semi")
@@ -202,34 +203,34 @@ def leaves(paths: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[Dat
         held = cut(paths.join(large.select("path"), "path", "left_semi"), "large")
         if depth == DEPTH:
             return found.unionByName(held), depth, cleft
-        rating = cut(rated(held, large, tokens, split), "rated")
+        rating = cut(rated(held, large, rooted, split), "rated")
         found = found.unionByName(held.join(rating.where("not pays").select("path"), "path", "left_semi"))
         if rating.where("pays").isEmpty():
             return found, depth, cleft
         parted = held.join(rating.where("pays").select("path"), "path", "left_semi")
         if cleft is None:
-            cleft = cut(parted.groupBy("sig").agg(F.count("*").alias("k")), "cleft")
+            cleft = cut(parted.groupBy("sig").agg(F.count("*").alias("k")).join(rooted.select("sig", "r"), "sig"), "cleft")
         paths = cut(children(parted, tokens, FANOUT).select("path", "sig").distinct(), "children")
         depth += 1
 
 
-def runs(met: DataFrame, tokens: DataFrame, rooted: DataFrame, split: int = SPLIT, roots: float = ROOTS, target: float = TARGET) -> DataFrame:
+def runs(met: DataFrame, tokens: DataFrame, split: int = SPLIT, roots: float = ROOTS, target: float = TARGET) -> DataFrame:
     """(path, sig) of the buckets to compare, of as many runs as the target takes; buckets with the same members once.
-    rooted: how many roots (r) each set has in the first run."""
+    met: the roots of the first run, as leaves() takes them."""
     with Workspace(met.sparkSession) as tables:
         found, depth, cleft = leaves(met, tokens, split)
-        risks, run = rooted.select("sig", "r", F.lit(0.0).alias("lost")), 1
+        risks, run = None, 1
         while cleft is not None:
             # Sets without a split root have met their partners, or none.
             whole, parted = missed(depth)
-            lost = F.col("lost") + (F.col("r") - F.col("k")) * whole + F.col("k") * parted
-            risks = cut(risks.join(cleft, "sig").select("sig", lost.alias("lost")).where(F.col("lost") > math.log(1 - target)), "risks")
+            lost = (F.col("r") - F.col("k")) * whole + F.col("k") * parted
+            now = cleft.select("sig", lost.alias("now")) if risks is None else cleft.join(risks, "sig").select("sig", (lost + F.col("lost")).alias("now"))
+            risks = cut(now.where(F.col("now") > math.log(1 - target)).select("sig", F.col("now").alias("lost")), "risks")
             if risks.isEmpty():
                 break
             # A run's number stands for its root.
             fresh = cut(children(risks.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct(), f"run-{run}")
-            risks = risks.join(fresh.groupBy("sig").agg(F.count("*").alias("r")), "sig").select("sig", "r", "lost")
-            more, depth, cleft = leaves(fresh, tokens, split)
+            more, depth, cleft = leaves(fresh.join(fresh.groupBy("sig").agg(F.count("*").alias("r")), "sig"), tokens, split)
             found, run = found.unionByName(more), run + 1
         found = tables.keep(cut(found, "found"))
     members = found.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"))
@@ -355,12 +356,11 @@ def _links(sets: DataFrame, split: int, block: int) -> DataFrame:
         held = met.join(met.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").select("path"), "path", "left_semi")
         enough = held.groupBy("sig").agg(F.first("r").alias("r"), F.count("*").alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("r") * COMPANY)))
         met = cut(held.join(enough.select("sig"), "sig", "left_semi"), "met")
-    met = met.select("path", "sig")
+    met = met.select("path", "sig", "r")
     # One row of each set that meets another, with its tokens.
     wanted = met.select("sig").distinct()
     tokens = cut(named.join(wanted, "sig", "left_semi").select("sig", "n", "tokens").dropDuplicates(["sig"]).join(counts, "sig"), "tokens")
-    rooted = named.join(wanted, "sig", "left_semi").select("sig", F.size("roots").alias("r")).distinct()
-    leaf = cut(runs(met, tokens.select("sig", "tokens"), rooted, split), "leaves")
+    leaf = cut(runs(met, tokens.select("sig", "tokens"), split), "leaves")
     volume = leaf.join(tokens.select("sig", "n"), "sig").groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     # Blocks grow with a bucket, so that a set isn't sent once for every 2048 others.
     g = F.greatest(F.least(F.ceil(F.col("m") / block), F.lit(32)), F.ceil(F.col("m") / (8 * block)), F.ceil(F.col("t") / VOLUME))

@@ -378,9 +378,9 @@ def test_a_common_passage_does_not_keep_buckets_together(spark):
     common = " ".join(f"c{k}" for k in range(34))
     rows = [(i, common + " " + " ".join(f"u{i}x{k}" for k in range(70))) for i in range(3000)]
     sets = similarity.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))
-    met = sets.selectExpr("sig", "explode(roots) path")
+    met = sets.selectExpr("sig", "size(roots) r", "explode(roots) path")
     assert not met.groupBy("path").count().where("count > 2500").isEmpty()
-    leaf = similarity.runs(met, sets.select("sig", "tokens"), sets.selectExpr("sig", "size(roots) r"), split=256)
+    leaf = similarity.runs(met, sets.select("sig", "tokens"), split=256)
     assert leaf.groupBy("path").count().where("count > 512").isEmpty()
     # Of near copies, all pairs are links, and they are compared at once.
     near = [(i, " ".join(f"n{k}" for k in range(100)) + f" end{i}") for i in range(600)]
