@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .letters import MARKED
 
 
 def tokens_plain(c: Column) -> Column:
@@ -20,8 +24,33 @@ def tokens_graph(c: Column) -> Column:
     return F.slice(F.filter(tokens_codes(c), lambda t: F.length(t) >= 2), 1, 5)
 
 
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFC")
+
+
+def newlines(c: Column) -> Column:
+    return F.regexp_replace(c, "\r\n?", "\n")
+
+
+def nfc(c: Column) -> Column:
+    """Lines ended by one sign, and composed letters.  No built-in function composes, so texts with more than ASCII pass Arrow batches."""
+    unix = newlines(c)
+    return F.when(unix.rlike(r"[^\x00-\x7f]"), _nfc(F.when(unix.rlike(r"[^\x00-\x7f]"), unix))).otherwise(unix)
+
+
 def compact_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"[ \t]+", " "))
+    """Each line with its blanks and tabs in a row as one, and nothing at its ends.  Composition is nfc()'s part."""
+    lines = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    return stripped(F.array_join(F.transform(lines, lambda x: stripped(F.regexp_replace(x, r"[ \t]+", " "))), "\n"))
 
 
 def slug(c: Column, default: str = "item") -> Column:
@@ -38,21 +67,45 @@ def strip_html(c: Column, joiner: str = "\n") -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r"\s*\n\s*", "\n")) if joiner == "\n" else F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+# Letters that stand for wrongly decoded ones, and words of wrongly read fonts.
+MOJIBAKE = "[ÃÂÄÆÐðþ\x00]"
+BROKEN = "CQNG|HOAXA|HQI|NGHiA|DQc|Hqnh|phric|Th6ng|tli6u|ngdn|kh6|nhrlnh|nudc"
+FAULTS = (
+    "text_layer_empty",
+    "replacement_character_found",
+    "too_many_control_characters",
+    "private_use_font_glyphs_found",
+    "too_many_non_printable_characters",
+    "too_few_letters_for_text_page",
+    "possible_encoding_or_font_error",
+    "possible_vietnamese_font_substitution_error",
+    "possible_broken_glyph_spacing",
+)
+
+
 def text_faults(c: Column) -> Column:
-    """Names of quality warnings by ratio."""
-    n = F.greatest(F.length(c), F.lit(1))
-    count = lambda p: F.regexp_count(c, F.lit(p))
-    words = F.regexp_extract_all(c, F.lit(r"\S+"), 0)
-    single = F.size(F.filter(words, lambda w: F.length(w) == 1))
-    return F.array_compact(F.array(
-        F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit("empty")),
-        F.when(count("�") > 0, F.lit("replacement")),
-        F.when(count(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") / n > 0.01, F.lit("control")),
-        F.when(count(r"[-]") / n > 0.005, F.lit("private_use")),
-        F.when((count(r"\p{L}") < 20) & (F.length(c) > 80), F.lit("few_letters")),
-        F.when(count("Ã.|Â.|â€") / n > 0.01, F.lit("mojibake")),
-        F.when((F.size(words) >= 30) & (single / F.greatest(F.size(words), F.lit(1)) > 0.65), F.lit("single_chars")),
-    ))
+    """Quality warnings of a page, by shares of its characters without white space at the ends; an empty or null one has the first only."""
+    t = F.coalesce(stripped(c), F.lit(""))
+    total = F.greatest(F.length(t), F.lit(1))
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    letters = count(r"\p{L}")
+    control = count(r"[\p{Cc}\p{Cf}&&[^\n\t]]")
+    unprinted = count(r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Z}&&[^\n\t ]]")
+    marked = count(f"[{MARKED}{MARKED.upper()}]")
+    tokens = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), 0)
+    single = F.size(F.filter(tokens, lambda w: F.length(w) == 1))
+    tests = (
+        count("\ufffd") > 0,
+        control / total > 0.01,
+        count(r"\p{Co}") / total > 0.005,
+        1 - unprinted / total < 0.95,
+        (letters < 20) & (total > 80),
+        count(MOJIBAKE) / total > 0.01,
+        (count(BROKEN) >= 3) & (marked / F.greatest(letters, F.lit(1)) < 0.02),
+        (F.size(tokens) >= 30) & (single / F.size(tokens) > 0.65),
+    )
+    found = F.array_compact(F.array(*[F.when(x, F.lit(name)) for name, x in zip(FAULTS[1:], tests)]))
+    return F.when(t == "", F.array(F.lit(FAULTS[0]))).otherwise(found)
 
 
 def sigmoid(c: Column) -> Column:
@@ -77,3 +130,17 @@ def citation(title: Column, code: Column, article: Column, chunk: Column) -> Col
     named = F.when(F.contains(title, code), title).otherwise(F.concat(title, F.lit(" ("), code, F.lit(")")))
     short = F.when(F.length(named) > 140, F.concat(F.left(named, F.lit(139)), F.lit("…"))).otherwise(named)
     return F.concat(F.lit("["), F.concat_ws(" | ", short, article, chunk), F.lit("]"))
+
+
+def result_line(rank: Column, citation_: Column, text: Column, most: int = 200) -> Column:
+    """A hit as two lines of a report."""
+    snippet = F.replace(F.replace(F.substring(text, 1, most), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("/"))
+    return F.concat(F.lit("rank="), rank.cast("string"), F.lit("  ["), citation_, F.lit("]\ntext: "), snippet, F.lit("…"))
+
+
+def markdown_pages(rows: DataFrame, by: str, columns: list[str], order: list[Column | str]) -> DataFrame:
+    """(by, page): a heading and a table of the group's rows in order; groups are a report's sections, of a page's size."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, cells.alias("line")))), lambda x: x.line)
+    head = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+    return rows.groupBy(by).agg(lines.alias("ls")).select(by, F.concat(F.lit("# "), F.col(by).cast("string"), F.lit("\n\n" + head), F.array_join("ls", "\n")).alias("page"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import strings as S
 from ..operators import chunking
 from ..sources import sinks
 from ..sources.tables import table, views
@@ -19,11 +19,6 @@ def w9_chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return chunking.fixed(table(spark, d, "documents")).select("doc_id", "chunk", F.length("text").alias("n"), F.md5("text").alias("md5"))
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk, trim(p, ' ' || chr(9) || chr(13)) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(p, ' ' || chr(9) || chr(13)) <> ''")
-def x17_paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.paragraphs(table(spark, d, "documents"))
-
-
 @query(f"WITH {FIXED}, p AS (SELECT 'paragraph' AS strategy, length(trim(x)) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> ''), a AS (SELECT 'fixed' AS strategy, length(text) AS n FROM c UNION ALL SELECT * FROM p) SELECT strategy, count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 2) AS mean FROM a GROUP BY ALL")
 def a2_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -32,7 +27,9 @@ def a2_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("strategy").agg(F.count("*").alias("chunks"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 2).alias("mean"))
 
 
-@query()
+@query("""WITH g AS (SELECT conv_id, list({'w': [{'items': 1::BIGINT, 'chars': length(text)::BIGINT}]} ORDER BY turn, length(text)) AS xs FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(xs, lambda a, x: CASE WHEN a.w[-1].chars + 2 + x.w[1].chars <= 600 THEN {'w': list_append(a.w[:-2], {'items': a.w[-1]['items'] + 1, 'chars': a.w[-1].chars + 2 + x.w[1].chars})} ELSE {'w': list_append(a.w, x.w[1])} END).w AS ws FROM g)
+SELECT conv_id, generate_subscripts(ws, 1) - 1 AS "window", unnest(ws)['items'] AS items, unnest(ws).chars AS chars FROM f""")
 def w5_pack_windows(spark: SparkSession, d: str) -> DataFrame:
     """Turns of a conversation packed greedily into windows of 600 characters."""
     return chunking.packed(table(spark, d, "conversations").withColumn("n", F.length("text")), "conv_id", "turn", "n", 600)
@@ -62,33 +59,6 @@ def w11_dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-CODE = r"\b\d{2,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\+\d \(\d{3}\) \d{3}-\d{4}"
-
-
-@query(r"SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{2,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\+\d \(\d{3}\) \d{3}-\d{4}')) AS code FROM documents) GROUP BY ALL")
-def x20_extract_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Codes found by pattern in the whole text, with their number in each document."""
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(CODE), 0)).alias("code"))
-    return found.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
-
-
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS form FROM documents), g AS (SELECT lower(form) AS key, form, count(*) AS n, min(doc_id) AS first FROM m GROUP BY ALL)
-SELECT key, arg_max(form, (n, form)) AS canonical, string_agg(form, ' | ' ORDER BY form) AS forms, sum(n)::BIGINT AS mentions, min(first) AS first_doc FROM g GROUP BY key HAVING sum(n) > 5""")
-def a14_entity_canonicalise(spark: SparkSession, d: str) -> DataFrame:
-    """Capitalised words by key with more than five mentions: the most frequent form, all forms, mentions and first document."""
-    return a14_entity_canonicalise_all(spark, d).where("mentions > 5")
-
-
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS form FROM documents), g AS (SELECT lower(form) AS key, form, count(*) AS n, min(doc_id) AS first FROM m GROUP BY ALL)
-SELECT key, arg_max(form, (n, form)) AS canonical, string_agg(form, ' | ' ORDER BY form) AS forms, sum(n)::BIGINT AS mentions, min(first) AS first_doc FROM g GROUP BY key""")
-def a14_entity_canonicalise_all(spark: SparkSession, d: str) -> DataFrame:
-    """Capitalised words by key, every key: the most frequent form, all forms, mentions and first document."""
-    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{5,}"), 0)).alias("form"))
-    g = m.groupBy("form").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    out = g.groupBy(F.lower("form").alias("key")).agg(F.max(F.struct("n", "form")).alias("best"), F.array_join(F.array_sort(F.collect_set("form")), " | ").alias("forms"), F.sum("n").alias("mentions"), F.min("first").alias("first_doc"))
-    return out.select("key", F.col("best.form").alias("canonical"), "forms", "mentions", "first_doc")
-
-
 @query("SELECT c AS column_name, count(*) FILTER (v IS NULL) AS nulls, count(*) FILTER (v = '') AS empties, count(DISTINCT v) AS different FROM (SELECT 'text' AS c, text::VARCHAR AS v FROM documents UNION ALL SELECT 'lang' AS c, lang::VARCHAR AS v FROM documents UNION ALL SELECT 'source' AS c, source::VARCHAR AS v FROM documents UNION ALL SELECT 'n_chars' AS c, n_chars::VARCHAR AS v FROM documents) GROUP BY c")
 def a4_null_profile(spark: SparkSession, d: str) -> DataFrame:
     cols = ["text", "lang", "source", "n_chars"]
@@ -109,16 +79,6 @@ def j14_fk_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_partkey").join(parts, "l_partkey", "left_anti").groupBy((F.col("l_partkey") % 7).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query()
-def f4_text_quality(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.text_faults(F.col("text")), ",").alias("faults")).where("faults <> ''")
-
-
-@query()
-def x9_html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
-
-
 @query("""SELECT user_id, event_type, arg_max(event_id, (ts, is_new, event_id)) AS event_id, max(ts) AS ts FROM (SELECT *, event_id % 2 AS is_new FROM events) GROUP BY ALL""")
 def k4_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """Odd events merged over even ones: the latest of each user and type stays."""
@@ -189,3 +149,39 @@ def o1_union_missing_columns(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     s = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return c.unionByName(s, allowMissingColumns=True)
+
+
+MENTIONS = "m AS (SELECT doc_id, 'name' AS kind, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS form FROM documents UNION ALL SELECT doc_id, 'number', unnest(regexp_extract_all(text, '[0-9]{4,}')) FROM documents)"
+
+
+@query(rf"""WITH {MENTIONS}, g AS (SELECT kind, lower(form) AS key, form, count(*) AS n, min(doc_id) AS first FROM m GROUP BY ALL), w AS (SELECT kind, lower(form) AS key, string_agg(DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'rule' ELSE 'model' END, ' | ' ORDER BY CASE WHEN doc_id % 2 = 0 THEN 'rule' ELSE 'model' END) AS methods FROM m GROUP BY ALL)
+SELECT kind, key, arg_max(form, (n, form)) AS canonical, string_agg(form, ' | ' ORDER BY form) AS forms, sum(n)::BIGINT AS mentions, min(first) AS first_doc, any_value(methods) AS methods FROM g JOIN w USING (kind, key) GROUP BY kind, key""")
+def a14_entity_canonicalise(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of words and numbers by kind and key: the most frequent form, all forms, mentions, first document and methods.  A document's
+    number says which method found it."""
+    docs, method = table(spark, d, "documents"), F.when(F.col("doc_id") % 2 == 0, "rule").otherwise("model")
+    found = lambda kind, p: docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(p), 0)).alias("form"))
+    m = found("name", r"[A-Z][a-z]{5,}").unionByName(found("number", "[0-9]{4,}"))
+    g = m.groupBy("kind", "form").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.collect_set(method).alias("ways"))
+    out = g.groupBy("kind", F.lower("form").alias("key")).agg(F.max(F.struct("n", "form")).alias("best"), F.array_join(F.array_sort(F.collect_set("form")), " | ").alias("forms"), F.sum("n").alias("mentions"), F.min("first").alias("first_doc"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ways")))), " | ").alias("methods"))
+    return out.select("kind", "key", F.col("best.form").alias("canonical"), "forms", "mentions", "first_doc", "methods")
+
+
+CITING = "'Căn cứ Luật số ' || doc_id || '/2020/QH14 và 12/03/2020, ' || substr(text, 1, 250) || ' thay thế 5/TT-X; ' || substr(text, 251, 450) || ' bãi bỏ ' || (doc_id % 7) || '/2019/ND-CP. ' || text"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, doc_id || '/2020/QH14' AS own, {CITING} AS body FROM documents),
+p AS (SELECT doc_id, own, body, trigger, unnest(range(1, length(body) + 1)) AS pos FROM t, (VALUES ('Căn cứ'), ('Sửa đổi, bổ sung'), ('bãi bỏ'), ('thay thế')) v(trigger)),
+w AS (SELECT doc_id, own, trigger, pos, substr(body, greatest(pos - 200, 1), pos + 400 - greatest(pos - 200, 1)) AS win FROM p WHERE substr(body, pos, length(trigger)) = trigger),
+n AS (SELECT *, regexp_extract_all(win, '{S.NUMBER}') AS found, regexp_split_to_array(win, '{S.NUMBER}') AS parts FROM w WHERE regexp_matches(win, '{S.NUMBER}')),
+c AS (SELECT doc_id, own, trigger, pos, win, i, found[i] AS code, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS before FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM n)),
+k AS (SELECT doc_id, trigger, code, pos, i, trim(substr(win, (greatest(before - 80, 0) + 1)::BIGINT, (before + length(code) + 80 - greatest(before - 80, 0))::BIGINT)) AS evidence FROM c
+  WHERE code <> own AND NOT starts_with(own, code || '/') AND CASE WHEN len(string_split(code, '/')) = 2 THEN regexp_matches(string_split(code, '/')[2], '\p{{L}}') WHEN len(string_split(code, '/')) > 2 THEN regexp_matches(string_split(code, '/')[3], '\p{{L}}') ELSE false END)
+SELECT doc_id, trigger, code, arg_min(evidence, (pos, i)) AS evidence FROM k GROUP BY doc_id, trigger, code""")
+def x20_extract_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Document numbers near the trigger words of each text, once by trigger, with the first one's surroundings; the document's own
+    number and its beginnings are left out."""
+    k, text = F.col("doc_id"), F.col("text")
+    n = k.cast("string")
+    body = F.concat(F.lit("Căn cứ Luật số "), n, F.lit("/2020/QH14 và 12/03/2020, "), F.substring(text, 1, 250), F.lit(" thay thế 5/TT-X; "), F.substring(text, 251, 450), F.lit(" bãi bỏ "), (k % 7).cast("string"), F.lit("/2019/ND-CP. "), text)
+    return S.citing(table(spark, d, "documents").select("doc_id", F.concat(n, F.lit("/2020/QH14")).alias("own"), body.alias("body")))

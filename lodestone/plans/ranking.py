@@ -117,7 +117,8 @@ def a9_parent_rrf_capped(spark: SparkSession, d: str) -> DataFrame:
     return search.parents(best.join(table(spark, d, "documents").select("doc_id", F.col("source").alias("parent_id")), "doc_id"), 3)
 
 
-@query()
+@query(f"""WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=20)}), g AS (SELECT query_id, list({{'kept': [rank], 'used': n_chars}} ORDER BY rank) AS xs FROM a JOIN documents USING (doc_id) GROUP BY query_id),
+f AS (SELECT query_id, list_reduce(xs, lambda s, x: CASE WHEN s.used + x.used <= 16000 THEN {{'kept': list_append(s.kept, x.kept[1]), 'used': s.used + x.used}} ELSE s END) AS r FROM g) SELECT query_id, r.used AS used, array_to_string(r.kept, ',') AS kept FROM f""")
 def w6_context_budget(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best documents of each question under a budget of 16000 characters, skipping what doesn't fit."""
     hits = _top(search.bm25(_corpus(spark, d), _items(spark, d)), 20)
@@ -165,7 +166,7 @@ SELECT r.query_id, r.n AS n_relevant, round(coalesce(k, 0)::DOUBLE / r.n, 6) AS
 def a16_eval_recall_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """Recall, MRR and nDCG at ten against all documents that hold the question's text."""
     docs, items = _corpus(spark, d), _items(spark, d)
-    gold = docs.withColumnRenamed("text", "body").join(F.broadcast(items), F.contains("body", F.col("text"))).groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    gold = search.texts_holding(docs, items).groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     got = _graded(spark, d).groupBy("query_id").agg(F.count_if("relevant").alias("k"), F.sum(F.when(F.col("relevant"), 1 / F.log2(F.col("rank") + 1))).alias("dcg"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return gold.join(got, "query_id", "left").select("query_id", "n_relevant", F.round(F.coalesce("k", F.lit(0)) / F.col("n_relevant"), 6).alias("recall"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
@@ -187,15 +188,9 @@ def o3_candidate_overlap(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("query_id").agg(F.count("*").alias("in_any"), F.count_if(F.col("plain_rank").isNotNull() & F.col("codes_rank").isNotNull()).alias("in_both"), F.count_if(F.col("codes_rank").isNull()).alias("only_plain"), F.count_if(F.col("plain_rank").isNull()).alias("only_codes"))
 
 
-@query(f"WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=5)}) SELECT doc_id, max(CASE WHEN query_id = 0 THEN rank END) AS q0, max(CASE WHEN query_id = 5 THEN rank END) AS q5, max(CASE WHEN query_id = 10 THEN rank END) AS q10 FROM a WHERE query_id IN (0, 5, 10) GROUP BY doc_id")
-def a30_query_child_matrix(spark: SparkSession, d: str) -> DataFrame:
-    hits = _top(search.bm25(_corpus(spark, d), _items(spark, d)), 5).where("query_id in (0, 5, 10)")
-    return hits.groupBy("doc_id").pivot("query_id", [0, 5, 10]).agg(F.max("rank")).toDF("doc_id", "q0", "q5", "q10")
-
-
 @query(f"WITH a AS (WITH {_bm25_sql(PLAIN, ITEMS)} {TOP.format(k=5)}) SELECT doc_id, count(*) AS n_queries, string_agg(query_id || ':' || rank, ',' ORDER BY query_id) AS ranks FROM a GROUP BY doc_id")
-def a30_query_child_matrix_all(spark: SparkSession, d: str) -> DataFrame:
-    """The whole matrix: each document that any item finds, with the items that find it as item:rank.  a30_query_child_matrix has three items' columns."""
+def a30_query_child_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The whole matrix: each document that any item finds, with the items that find it as item:rank."""
     hits = _top(search.bm25(_corpus(spark, d), _items(spark, d)), 5)
     cells = F.transform(F.array_sort(F.collect_list(F.struct("query_id", "rank"))), lambda x: F.concat_ws(":", x["query_id"].cast("string"), x["rank"].cast("string")))
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_queries"), F.array_join(cells, ",").alias("ranks"))

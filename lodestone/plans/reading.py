@@ -9,14 +9,6 @@ from ..sources.tables import table
 from .registry import query
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS hops, (count(*) OVER (PARTITION BY conv_id)) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations")
-def j19_chain_walk(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn's distance from the chain's head and to its end, by order instead of recursion, so that length has no limit."""
-    w = Window.partitionBy("conv_id")
-    at = F.row_number().over(w.orderBy("turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", (at - 1).alias("hops"), (F.count("*").over(w) - at).alias("after"))
-
-
 @query("SELECT o_orderkey, 'c' || c_custkey || '>' || 'n' || n_nationkey || '>' || 'r' || r_regionkey AS ancestors, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def j21_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """The parents of each order up to the root, three levels up."""

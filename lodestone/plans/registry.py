@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import corpus, graphs, ranking, reading, records, relations, strings  # noqa: F401
+    from . import corpus, graphs, hierarchy, ranking, reading, records, relations, retrieval, strings, structure  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import search
 from ..sources.tables import table
 from .registry import query
 
@@ -80,24 +81,11 @@ def f17_placeholder_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", segment.alias("segment")).where(~F.col("segment").isin("", "unclassified"))
 
 
-@query("SELECT p_partkey FROM part WHERE (regexp_matches(p_brand, '#[1-3]') OR starts_with(p_name, 'b') OR length(p_type) <= 5) AND NOT contains(p_name, 'red')")
-def f18_reference_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Kept for a code, a first letter or a short title; never with the phrase."""
-    keep = F.col("p_brand").rlike("#[1-3]") | F.col("p_name").startswith("b") | (F.length("p_type") <= 5)
-    return table(spark, d, "part").where(keep & ~F.contains("p_name", F.lit("red"))).select("p_partkey")
-
-
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0")
 def f21_zero_score_drop(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where("l_discount > 0").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_type, n FROM (SELECT lower(p_type) AS p_type, count(DISTINCT p_name) AS n FROM part GROUP BY 1) WHERE n > 1")
-def f23_alias_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Names that stand for several others."""
-    return table(spark, d, "part").groupBy(F.lower("p_type").alias("p_type")).agg(F.countDistinct("p_name").alias("n")).where("n > 1")
-
-
 @query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'p.' || doc_id ELSE 'p.' || doc_id || '-' || (doc_id + 1) END AS page, substr(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), 1, 200) AS preview, replace(replace(substr(text, 1, 200), chr(10), '\n'), '|', '\|') AS snippet FROM documents")
 def f26_previews(spark: SparkSession, d: str) -> DataFrame:
     """Pages, a preview with blanks collapsed, and a table cell with breaks and bars escaped."""
@@ -217,13 +205,9 @@ def w4_chapter_by_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT name, printf('E%06d', row_number() OVER (ORDER BY name)) AS entity_id FROM (SELECT DISTINCT c_name AS name FROM customer)")
 def w15_sequential_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers in order of names without one task for all: ranks within ranges of names, on top of the counts before each range.  Ranges
-    are names' beginnings, so the order of ranges is that of names; the table of counts has one row a range."""
-    names = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.substring("c_name", 1, 15).alias("head")).distinct()
-    counts = names.groupBy("head").agg(F.count("*").alias("n"))
-    before = counts.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"))
-    ranked = names.withColumn("k", F.row_number().over(Window.partitionBy("head").orderBy("name"))).join(before, "head")
-    return ranked.select("name", F.format_string("E%06d", F.col("before") + F.col("k")).alias("entity_id"))
+    """Numbers in order of names without one task for all: see numbered()."""
+    names = table(spark, d, "customer").select(F.col("c_name").alias("name")).distinct()
+    return search.numbered(names, ["name"], "k").select("name", F.format_string("E%06d", "k").alias("entity_id"))
 
 
 @query(f"WITH {BRANCHES} SELECT id, round(coalesce(0.6 / (60 + ra), 0) + coalesce(0.4 / (60 + rb), 0), 9) AS score FROM a FULL JOIN b USING (id) ORDER BY score DESC, least(coalesce(ra, 1000000000), coalesce(rb, 1000000000)), coalesce(rb, 1000000000), coalesce(ra, 1000000000), id LIMIT 20")
@@ -265,17 +249,6 @@ def o2_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-@query("SELECT n_nationkey AS node, CASE WHEN n_regionkey = 1 THEN 0 ELSE 1 + n_regionkey END AS hops, n_regionkey = 1 AS is_seed FROM nation")
-def o6_seed_precedence(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds and what the hops found, each node once: a seed stays a seed, else the fewest hops count."""
-    n = table(spark, d, "nation")
-    seeds = n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("node"), F.lit(0).alias("hops"), F.lit(True).alias("is_seed"))
-    hops = n.select(F.col("n_nationkey").alias("node"), (F.col("n_regionkey") + 1).alias("hops"), F.lit(False).alias("is_seed"))
-    more = hops.withColumn("hops", F.col("hops") + 3)
-    best = F.max(F.struct("is_seed", (-F.col("hops")).alias("minus"))).alias("b")
-    return seeds.unionByName(hops).unionByName(more).groupBy("node").agg(best).select("node", (-F.col("b.minus")).alias("hops"), "b.is_seed")
-
-
 @query("SELECT key, arg_min(origin, p) AS origin FROM (SELECT lower(p_type) AS key, 'metadata' AS origin, 0 AS p FROM part WHERE p_size > 30 UNION ALL SELECT lower(p_type), 'model', 1 FROM part) GROUP BY key")
 def o7_metadata_first(spark: SparkSession, d: str) -> DataFrame:
     """Entities of two origins, once by name without regard to case; metadata comes first."""
@@ -284,18 +257,6 @@ def o7_metadata_first(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by("origin", "p").alias("origin"))
 
 
-@query("SELECT 'v' || vec_id AS vector_id, vec_id AS node FROM embeddings WHERE label IN (1, 3, 5)")
-def k9_vector_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A vector node and its edge for nodes of leaf kinds only."""
-    return table(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5)).select(F.concat(F.lit("v"), "vec_id").alias("vector_id"), F.col("vec_id").alias("node"))
-
-
-@query("SELECT event_id FROM events WHERE event_type <> 'error' OR event_type IS NULL")
-def k11_scoped_wipe(spark: SparkSession, d: str) -> DataFrame:
-    """What a wipe of one kind leaves."""
-    return table(spark, d, "events").where(~F.col("event_type").eqNullSafe("error")).select("event_id")
-
-
 @query("SELECT doc_id, CASE WHEN NOT original IN ('', 'unclassified') THEN original ELSE coalesce(suggested, original) END AS value, CASE WHEN NOT original IN ('', 'unclassified') THEN 'metadata' WHEN suggested IS NOT NULL THEN 'model' ELSE 'missing' END AS method FROM (SELECT doc_id, (['', 'unclassified', source])[doc_id % 3 + 1] AS original, CASE WHEN doc_id % 2 = 0 THEN lang END AS suggested FROM documents)")
 def z13_enrichment_merge(spark: SparkSession, d: str) -> DataFrame:
     """A suggestion counts only where the original says nothing."""

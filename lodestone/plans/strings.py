@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,6 @@ def x3_graph_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.tokens_graph(F.col("text")), " ").alias("tokens"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'))) AS md5 FROM documents")
-def x5_compact_spaces(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(X.compact_spaces(F.col("text"))).alias("md5"))
-
-
 @query(r"SELECT doc_id, md5(regexp_replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '[ .,;:]+$', '')) AS md5 FROM documents")
 def x6_normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(S.plain_name(F.col("text"))).alias("md5"))
@@ -49,9 +46,9 @@ def x7_fold_marks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(S.folded(F.concat(F.lit("Điều ế "), "text"))).alias("md5"))
 
 
-@query("SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
+@query("SELECT doc_id, md5(CASE WHEN s = '' THEN 'item' ELSE s END) AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
 def x8_slug(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.slug(F.col("text"))).alias("slug"))
 
 
 LINES = "SELECT p_partkey, (['## Chương IV: ', '**Mục 2** ', 'Điều ', '', 'b) ', '__Chapter 3__ '])[p_partkey % 6 + 1] || p_partkey || '. ' || p_name AS line FROM part"
@@ -145,11 +142,11 @@ def x29_prompt(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))).alias("bs")).select("conv_id", F.md5(F.array_join("bs.b", "\n\n")).alias("md5"))
 
 
-@query("SELECT doc_id, md5('title: ' || lang || ' | ' || source || chr(10) || 'text: ' || text) AS passage, 'task: search | query: ' || substr(text, 1, 40) AS query FROM documents")
+@query("SELECT doc_id, md5('title: ' || lang || ' | ' || source || chr(10) || 'text: ' || text) AS passage, md5('task: search | query: ' || text) AS query FROM documents")
 def x30_embedding_text(spark: SparkSession, d: str) -> DataFrame:
     """What a model is to be given: a breadcrumb and the body, or a prefixed query."""
     body = F.concat_ws("\n", F.concat(F.lit("title: "), F.concat_ws(" | ", "lang", "source")), F.concat(F.lit("text: "), "text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(body).alias("passage"), F.concat(F.lit("task: search | query: "), F.substring("text", 1, 40)).alias("query"))
+    return table(spark, d, "documents").select("doc_id", F.md5(body).alias("passage"), F.md5(F.concat(F.lit("task: search | query: "), "text")).alias("query"))
 
 
 @query(r"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE '"' || replace(replace(props, '\', '\\'), '"', '\"') || '"' END AS scalar FROM events""")
@@ -167,12 +164,6 @@ def x33_wikilinks(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", F.explode(S.wikilinks(made)).alias("target")).join(pages, F.col("target") == F.col("page"), "left").select("s_suppkey", "target", F.col("page").isNull().alias("broken"))
 
 
-@query("SELECT o_orderkey, (['unavailable', 'no-context', 'no-graph-data', 'partial', 'answered'])[o_orderkey % 5 + 1] AS verdict FROM orders")
-def x35_answer_judge(spark: SparkSession, d: str) -> DataFrame:
-    said = F.get(F.array(*map(F.lit, ["", "No context was found", "It is not in the graph, only part", "Partly so", "Yes"])), (F.col("o_orderkey") % 5).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", S.judged(said).alias("verdict"))
-
-
 @query("SELECT p_partkey, trim(x) AS entity FROM (SELECT p_partkey, unnest(string_split(p_brand || ', ,' || p_type, ',')) AS x FROM part) WHERE trim(x) <> ''")
 def x36_comma_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.explode(F.split(F.concat("p_brand", F.lit(", ,"), "p_type"), ",")).alias("x")).select("p_partkey", F.trim("x").alias("entity")).where("entity <> ''")
@@ -197,7 +188,7 @@ def y4_decay_and_discount(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", n, F.round(F.pow(F.lit(0.85), n), 6).alias("decayed"), F.round(1 / F.log2(n + 1), 6).alias("discount"))
 
 
-@query()
+@query(f"SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4 + 1)::BIGINT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT o_orderkey, sha1(unhex('{uuid.NAMESPACE_URL.hex}') || encode(o_orderkey::VARCHAR)) AS h FROM orders)")
 def y8_uuid5(spark: SparkSession, d: str) -> DataFrame:
     """Name-based ids; a test holds them against the standard library."""
     return table(spark, d, "orders").select("o_orderkey", S.uuid5(F.col("o_orderkey").cast("string")).alias("uuid"))
@@ -207,3 +198,11 @@ def y8_uuid5(spark: SparkSession, d: str) -> DataFrame:
 def y9_hashed_ids(spark: SparkSession, d: str) -> DataFrame:
     hashed = lambda c, n: F.substring(F.sha2(F.col(c).cast("binary"), 256), 1, n)
     return table(spark, d, "documents").select("doc_id", F.concat(hashed("source", 16), F.lit(":"), F.format_string("%03d", F.col("doc_id") % 1000)).alias("parent_id"), F.concat(F.lit("store_"), hashed("lang", 10)).alias("store"), F.md5(F.col("doc_id").cast("string")).alias("signature"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'llm-unavailable' WHEN 1 THEN 'no-context' WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN 'partial' ELSE 'no-graph-data' END WHEN 3 THEN CASE WHEN o_custkey % 2 = 0 THEN 'answered' ELSE 'no-graph-data' END ELSE 'no-context' END AS verdict FROM orders")
+def x35_answer_judge(spark: SparkSession, d: str) -> DataFrame:
+    """Five answers, of which every second question had chunks."""
+    answers = ["[LLM unavailable: quota]", "Không có thông tin về việc này.", "Có.", "Ngân hàng phải lập báo cáo theo quy định tại điều 5 và gửi trước ngày 15 hằng tháng.", "Ngữ cảnh không nói tới."]
+    said = F.get(F.array(*map(F.lit, answers)), (F.col("o_orderkey") % 5).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", S.judged(said, F.col("o_custkey") % 2 == 0).alias("verdict"))

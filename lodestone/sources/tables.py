@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the folder of spark.checkpoint.dir, so that steps that read it again don't repeat what made it and a lost
+    executor doesn't either.  Where the setting is missing, a local session gets a folder of its own; on a cluster that is an error."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir names no shared folder for the steps' results")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -89,3 +105,43 @@ def script_statements(scripts: DataFrame) -> DataFrame:
     """(path, text) to its statements: split on a ; at a line's end, comment lines dropped."""
     bare = F.regexp_replace("text", r"(?m)^\s*//.*$", "")
     return scripts.select("path", F.posexplode(F.filter(F.transform(F.split(bare, r";\s*(?:\n|$)"), F.trim), lambda s: s != ""))).toDF("path", "n", "statement")
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*.pdf", only: list[str] | None = None) -> DataFrame:
+    """(path, name, length) of the files below a folder, without their contents; only: names to keep."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+    rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return rows.where(F.col("name").isin(only)) if only else rows
+
+
+def collection_faults(asked: dict[str, str], dim: Column, want: int) -> Column:
+    """Names of what a collection's rows say otherwise than asked, and dim."""
+    odd = [F.when(~F.col(k).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in asked.items()]
+    return F.array_compact(F.array(*odd, F.when(dim != want, F.lit("dim"))))
+
+
+# Kinds of evaluation questions.
+QUESTION_TYPES = ("exact", "paraphrase", "multi_aspect", "hierarchy_context", "out_of_scope")
+
+
+def question_faults(questions: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(question_id, question, question_type, ids) with what is wrong with each; known: the ids that there are."""
+    said = questions.select("question_id", F.posexplode("ids").alias("at", key))
+    stale = said.join(known.select(key).distinct(), key, "left_anti").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", key))).alias("gone"))
+    gone = F.array_join(F.transform("gone", lambda x: x[key].cast("string")), " ")
+    found = F.array_compact(F.array(
+        F.when(F.col("question").isNull(), F.lit("question is missing")),
+        F.when(~F.col("question_type").isin(*QUESTION_TYPES), F.lit("unknown question_type")),
+        F.when(F.col("gone").isNotNull(), F.concat(F.lit("stale ids: "), gone)),
+    ))
+    return questions.join(stale, "question_id", "left").select("question_id", F.array_join(found, ",").alias("faults"))
+
+
+def questions(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """A JSON list of questions; ValueError for the first with a fault."""
+    rows = spark.read.json(path, multiLine=True, schema="question_id string, question string, question_type string, relevant_child_ids array<string>, relevant_parent_ids array<string>, needs_human_review boolean, notes string")
+    faults = question_faults(rows.withColumn("ids", F.col("relevant_parent_ids")), known, known.columns[0])
+    bad = faults.where("faults <> ''").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].question_id}: {bad[0].faults}")
+    return rows

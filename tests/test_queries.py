@@ -40,14 +40,14 @@ def test_context_budget_is_greedy(spark):
 
 
 def test_matrix_has_all_items(spark, duck):
-    found = registry.queries()["a30_query_child_matrix_all"](spark, SF).collect()
+    found = registry.queries()["a30_query_child_matrix"](spark, SF).collect()
     items = {int(c.split(":")[0]) for r in found for c in r.ranks.split(",")}
     assert items == {i for i, in duck.sql("select item_id from benchmark").fetchall()} and all(r.n_queries == len(r.ranks.split(",")) for r in found)
 
 
 def test_rare_entities_stay(spark):
-    found = registry.queries()["a14_entity_canonicalise_all"](spark, SF).collect()
-    assert len({r.key for r in found}) == len(found) and any(r.mentions <= 5 for r in found)
+    found = registry.queries()["a14_entity_canonicalise"](spark, SF).collect()
+    assert len({(r.kind, r.key) for r in found}) == len(found) and any(r.mentions <= 5 for r in found)
 
 
 def test_packing_closes_windows(spark):
@@ -97,7 +97,8 @@ def test_quality_warnings(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([("",), (None,), ("a�b",), ("1 " * 60,), ("fine words here",)], "t string")
-    assert [r.f for r in df.select(F.array_join(text_faults(F.col("t")), ",").alias("f")).collect()] == ["empty", "empty", "replacement", "few_letters,single_chars", ""]
+    want = ["text_layer_empty", "text_layer_empty", "replacement_character_found", "too_few_letters_for_text_page,possible_broken_glyph_spacing", ""]
+    assert [r.f for r in df.select(F.array_join(text_faults(F.col("t")), ",").alias("f")).collect()] == want
 
 
 def test_json_sources(spark, tmp_path):
