@@ -66,13 +66,17 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and no executor's loss repeats it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def cut(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and no executor's loss repeats it.
+    light: a table of ids and counts, much smaller than what it was made from, which is written to fewer files than there are shuffle
+    partitions (an eighth, but one for each core at least)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.coalesce(max(spark.sparkContext.defaultParallelism, parts // 8)) if light else df).write.parquet(path)
     if _open:
         _open[-1].append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 

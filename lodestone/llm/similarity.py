@@ -194,22 +194,22 @@ def leaves(first: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[Dat
     found, cleft, depth, paths = None, None, 0, first.select("path", "sig")
     rooted = first.groupBy("sig").agg(F.collect_list("path").alias("roots"), F.first("r").alias("r"))
     while True:
-        sizes = cut(paths.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+        sizes = cut(paths.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "buckets", light=True)
         small = paths.join(sizes.where(F.col("m") <= split).select("path"), "path", "left_semi")
         found = small if found is None else found.unionByName(small)
         large = sizes.where(F.col("m") > split)
         if large.isEmpty():
             return found, depth, cleft
-        held = cut(paths.join(large.select("path"), "path", "left_semi"), "large")
+        held = cut(paths.join(large.select("path"), "path", "left_semi"), "large", light=True)
         if depth == DEPTH:
             return found.unionByName(held), depth, cleft
-        rating = cut(rated(held, large, rooted, split), "rated")
+        rating = cut(rated(held, large, rooted, split), "rated", light=True)
         found = found.unionByName(held.join(rating.where("not pays").select("path"), "path", "left_semi"))
         if rating.where("pays").isEmpty():
             return found, depth, cleft
         parted = held.join(rating.where("pays").select("path"), "path", "left_semi")
         if cleft is None:
-            cleft = cut(parted.groupBy("sig").agg(F.count("*").alias("k")).join(rooted.select("sig", "r"), "sig"), "cleft")
+            cleft = cut(parted.groupBy("sig").agg(F.count("*").alias("k")).join(rooted.select("sig", "r"), "sig"), "cleft", light=True)
         paths = cut(children(parted, tokens, FANOUT).select("path", "sig").distinct(), "children")
         depth += 1
 
@@ -225,14 +225,14 @@ def runs(met: DataFrame, tokens: DataFrame, split: int = SPLIT, roots: float = R
             whole, parted = missed(depth)
             lost = (F.col("r") - F.col("k")) * whole + F.col("k") * parted
             now = cleft.select("sig", lost.alias("now")) if risks is None else cleft.join(risks, "sig").select("sig", (lost + F.col("lost")).alias("now"))
-            risks = cut(now.where(F.col("now") > math.log(1 - target)).select("sig", F.col("now").alias("lost")), "risks")
+            risks = cut(now.where(F.col("now") > math.log(1 - target)).select("sig", F.col("now").alias("lost")), "risks", light=True)
             if risks.isEmpty():
                 break
             # A run's number stands for its root.
             fresh = cut(children(risks.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct(), f"run-{run}")
             more, depth, cleft = leaves(fresh.join(fresh.groupBy("sig").agg(F.count("*").alias("r")), "sig"), tokens, split)
             found, run = found.unionByName(more), run + 1
-        found = tables.keep(cut(found, "found"))
+        found = tables.keep(cut(found, "found", light=True))
     members = found.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("members"))
     return found.join(members.groupBy("m", "members").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
 
@@ -355,7 +355,7 @@ def _links(sets: DataFrame, split: int, block: int) -> DataFrame:
     for _ in range(2):
         held = met.join(met.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").select("path"), "path", "left_semi")
         enough = held.groupBy("sig").agg(F.first("r").alias("r"), F.count("*").alias("k")).where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("r") * COMPANY)))
-        met = cut(held.join(enough.select("sig"), "sig", "left_semi"), "met")
+        met = cut(held.join(enough.select("sig"), "sig", "left_semi"), "met", light=True)
     met = met.select("path", "sig", "r")
     # One row of each set that meets another, with its tokens.
     wanted = met.select("sig").distinct()
@@ -383,7 +383,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = cut(small, "stars")
+        edges = cut(small, "stars", light=True)
         if last:
             removed(edges.sparkSession, last)
         last = edges.written_at
@@ -401,7 +401,7 @@ def classes(docs: DataFrame, **how) -> DataFrame:
     counts = found.groupBy("sig").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
     roots = components(found.select("sig", "other"))
     rooted = ids.join(roots, "sig", "left").join(counts, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    rooted = cut(rooted, "rooted")
+    rooted = cut(rooted, "rooted", light=True)
     least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     known = rooted.join(least, "root").select("sig", "root", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
     return sets.select("doc_id", "key", "sig").join(known, "sig", "left").select("doc_id", "key", "sig", "root", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
@@ -411,7 +411,7 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     """One row of each class, with all columns: that of the least doc_id (a null id after all others), of its texts the one with the
     least md5, of rows repeated with id and text any one.  Wordless documents are in no class and all stay."""
     found = classes(docs, **how).where("sig is not null").withColumn("who", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    found = cut(found.select("doc_id", "key", "root", "who"), "found")
+    found = cut(found.select("doc_id", "key", "root", "who"), "found", light=True)
     best = found.groupBy("root").agg(F.min("who").alias("best"))
     gone = found.join(best, "root").where("who <> best").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
     same = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
