@@ -6,7 +6,8 @@ The machine starts in "start" and moves by (state, role); a move that isn't list
 
 Rows: null texts and roles are empty; turns order by (turn, role, text) with nulls first, so ties are settled by content and
 repeated rows stay repeated turns; a null conv_id is one conversation; an unknown role makes the conversation invalid and
-bears no loss, and is formatted all the same; other columns are ignored.  No rows, no result.
+bears no loss, and is formatted all the same; other columns are ignored.  No rows, no result.  A conversation, with very long texts
+too, is one row, as its digests are of all of it; ValueError for a template whose marks could not be told from escaped texts.
 """
 
 from __future__ import annotations
@@ -31,6 +32,14 @@ class Template:
     moves: dict[tuple[str, str], str] = field(default_factory=lambda: {("start", "system"): "system", ("start", "user"): "user", ("system", "user"): "user", ("user", "assistant"): "assistant", ("assistant", "user"): "user"})
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        if "<" not in self.open or "<" not in self.close:
+            raise ValueError("an opening and a closing mark each need a <, which escaped texts never hold")
+        if "\n" not in self.after_role:
+            raise ValueError("the mark after a role needs a line end, which escaped roles never hold")
+        if self.open in self.close or self.close in self.open:
+            raise ValueError("one mark holds the other")
+
 
 def escaped(c: Column, role: bool = False) -> Column:
     c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
@@ -80,7 +89,7 @@ def read_back(out: DataFrame, template: Template = Template()) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = spark.createDataFrame([(-7, 0, "user", ODD), (-7, 1, "assistant", ODD)], turns.schema)
+    odd = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD).alias("text"))
     return read_back(formatted(turns.unionByName(odd)))
 
 
