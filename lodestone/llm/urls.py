@@ -2,9 +2,10 @@
 active when it was fetched.  DataFrame functions only.
 
 An entry names a key: "host.tld" (the host and all below it) or "host.tld/dir/" (the host's paths below it).  A capture has
-one key for each suffix of its host and each directory of its path; the longest active key decides (allow or block).
-Interval lists are gathered by key and joined on it, so the list side has one row a key and a hot host splits freely on the
-capture side (AQE); Spark broadcasts the list only where its measured size is below the broadcast threshold.
+one key for each suffix of its host (an address has itself only) and each directory of its path; the longest active key decides
+(allow or block).  Interval lists are gathered by key and joined on it, so the list side has one row a key and a hot host splits freely
+on the capture side (AQE); Spark broadcasts the list only where its measured size is below the broadcast threshold.  A key's row is
+bounded by the days that the lists cover, as entries are distinct by key, day, action and verdict.
 
 Rows: a null or malformed url has no host, no key and isn't blocked; equal captures fold into one row with n_rows; of entries
 for one key and day, "add" comes after "remove"; entries with a null key, day or action are ignored; empty lists block
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)"
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*)$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
@@ -34,7 +36,8 @@ def keys_of(url: Column) -> Column:
     """All keys under which an entry for this url may stand."""
     host = F.lower(F.regexp_extract(url, HOST, 1))
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(suffixes)
     dirs = F.split(F.regexp_replace(F.regexp_extract(url, PATH, 1), "[^/]*$", ""), "/")
     paths = F.transform(F.sequence(F.lit(2), F.size(dirs)), lambda i: F.concat(host, F.array_join(F.slice(dirs, 1, i - 1), "/"), F.lit("/")))
     return F.when(host != "", F.array_distinct(F.concat(hosts, F.when(F.size(dirs) > 1, paths).otherwise(F.array().cast("array<string>")))))
@@ -82,7 +85,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h,
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1)) AS h,
     DATE '2020-01-01' + (('0x' || substr(md5(coalesce(url, '')), 1, 7))::INT % 1500) AS fetched,
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '[^/]*$', '') AS dir FROM pages),
 hosts AS (SELECT DISTINCT h, ('0x' || substr(md5(h), 1, 7))::INT AS m FROM p WHERE h <> ''),
@@ -96,7 +99,7 @@ spans AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY key ORDER BY day
   WHERE action = 'add' AND (until IS NULL OR until > day)),
 keys AS (SELECT DISTINCT page_id, url, fetched, key FROM (
   SELECT page_id, url, fetched, array_to_string(list_slice(string_split(h, '.'), i, len(string_split(h, '.'))), '.') AS key
-    FROM (SELECT *, unnest(range(1, len(string_split(h, '.')) + 1)) AS i FROM p WHERE h <> '')
+    FROM (SELECT *, unnest(range(1, CASE WHEN regexp_matches(h, '^(\d{1,3}(\.\d{1,3}){3}|\[.*)$') THEN 2 ELSE len(string_split(h, '.')) + 1 END)) AS i FROM p WHERE h <> '')
   UNION ALL SELECT page_id, url, fetched, h || array_to_string(list_slice(string_split(dir, '/'), 1, i), '/') || '/'
     FROM (SELECT *, unnest(range(1, len(string_split(dir, '/')))) AS i FROM p WHERE h <> '' AND dir <> ''))),
 hit AS (SELECT k.*, s.verdict, s.day FROM keys k JOIN spans s ON k.key = s.key AND s.day <= k.fetched AND (s.until IS NULL OR s.until > k.fetched)),
