@@ -11,7 +11,8 @@ its content alone decides.  Windows in a row with one anchor are a run and trave
 3. The repeated windows of each document are joined to its text.
 
 Order is by (doc_id, start), a null id before all others; rows under one id count as one document, and rows repeated with their
-text each get the same result.  Null and empty texts have no bytes.  Texts under 100 bytes keep all.  Other columns are ignored.
+text each get the same result.  Null and empty texts have no bytes.  Texts under 100 bytes keep all.  Very long texts are hashed in
+segments that overlap by a window less one, and keep their runs.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -226,9 +227,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
+        if not len(b):
+            continue
         held.append(b)
         size += len(b)
-        if size >= 16_384:
+        # While all rows held are of one anchor there is nothing to sort yet.
+        if size >= 16_384 and held[0].column(0)[0] != b.column(0)[len(b) - 1]:
             t = pa.Table.from_batches(held).combine_chunks()
             h = t.column(0).to_numpy()
             k = int(np.searchsorted(h, h[-1], side="left"))  # the last anchor may go on

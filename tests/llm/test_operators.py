@@ -323,12 +323,27 @@ def test_suffix_dedup(odd, docs):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
-def test_suffix_runs_of_long_texts(monkeypatch):
+def test_suffix_runs_of_long_texts():
     data = np.frombuffer(("ab" * 3000 + COPY).encode(), np.uint8)
     whole = suffixes.Runs().of(data, np.array([0, len(data)]))
     assert whole[4].sum() == len(data) - 99 and (np.diff(whole[3]) == whole[4][:-1]).all()
 
 
+def test_suffix_segments_give_what_whole_texts_give(spark, monkeypatch):
+    import pyarrow as pa
+
+    g = np.random.default_rng(9)
+    part = lambda n: "".join(g.choice(list("abcdefgh "), n))
+    shared = part(700)
+    rows = [(1, part(900) + shared + part(300)), (2, shared), (3, part(50)), (4, part(1500) + shared[200:600]), (5, None), (6, "é" * 400)]
+    batch_ = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([t for _, t in rows], pa.string())], names=["doc", "t", "text"])
+    covered = lambda: {(r["doc"], r["start"] + k) for b in suffixes._runs(iter([batch_])) for r in b.to_pylist() for k in range(r["n"])}
+    assert suffixes.SEGMENT > 1000
+    whole = covered()
+    monkeypatch.setattr(suffixes, "SEGMENT", 400)
+    assert covered() == whole == {(i, s) for i, t in rows for s in range(max(0, len((t or "").encode()) - 99))}
+
+
 def shingles(t):
     w = words(t)
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
@@ -508,6 +523,18 @@ def test_chat_template_with_pattern_signs(spark):
     assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in rows).encode()).hexdigest() and got.loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest()
 
 
+def test_templates_that_could_be_mistaken_raise():
+    for wrong in ({"open": "[turn]"}, {"close": "/turn\n"}, {"after_role": ": "}, {"open": "<t>", "close": "<t>x"}):
+        with pytest.raises(ValueError):
+            chat.Template(**wrong)
+
+
+def test_addresses_have_no_suffixes(spark):
+    asked = {"http://10.0.0.1/a/b": ["10.0.0.1", "10.0.0.1/", "10.0.0.1/a/"], "http://[::1]:80/x": ["[::1]", "[::1]/"], "http://u@b.a.com:8": ["b.a.com", "a.com", "com"], "http://": None}
+    got = {r.u: r.k for r in spark.createDataFrame([(u,) for u in asked], "u string").select("u", urls.keys_of(F.col("u")).alias("k")).collect()}
+    assert got == asked
+
+
 def test_short_sets_link_only_to_equal_ones(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "a b c"), (4, "a b d"), (5, "a, B c"), (6, "k l m n o p q"), (7, "k l m n o p q r")]
     got = {r.doc_id: (r.class_id, r.n_links) for r in similarity.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
