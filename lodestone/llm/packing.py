@@ -38,7 +38,7 @@ class Ids(dict):
     others are encoded whole.  A special token's name in a text is that token, and parts the text, as the tokenizers library has it.
     """
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = 600_000):
         import tiktoken
 
         from tokenizers import Tokenizer
