@@ -18,6 +18,11 @@ def confidence(value: Column, default: float = 0.7) -> Column:
     return F.least(F.greatest(F.coalesce(value, F.lit(default)), F.lit(0.0)), F.lit(1.0))
 
 
+def relation_confidence(method: Column, value: Column) -> Column:
+    """A rule's 0.9, metadata's 1.0; a model's own, held to [0, 1], or 0.75."""
+    return F.when(method == "metadata", 1.0).when(method == "rule", 0.9).otherwise(confidence(value, 0.75))
+
+
 def first_score(*scores: Column) -> Column:
     """The first score that is neither null nor zero, else zero."""
     return F.coalesce(*[F.nullif(s, F.lit(0.0)) for s in scores], F.lit(0.0))

@@ -144,3 +144,11 @@ def markdown_pages(rows: DataFrame, by: str, columns: list[str], order: list[Col
     lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, cells.alias("line")))), lambda x: x.line)
     head = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
     return rows.groupBy(by).agg(lines.alias("ls")).select(by, F.concat(F.lit("# "), F.col(by).cast("string"), F.lit("\n\n" + head), F.array_join("ls", "\n")).alias("page"))
+
+
+def json_payload(c: Column) -> Column:
+    """The JSON in an answer: all of it, or what a fence holds, or what stands from the first brace to the last; null if none parses.
+    What follows a complete object is not looked at."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    braced = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    return F.coalesce(*[F.when(F.get_json_object(x, "$").isNotNull(), F.trim(x)) for x in (c, fenced, braced)])

@@ -20,7 +20,7 @@ def by_marker(docs: DataFrame, marker: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n|\n"), F.trim), lambda p: p != ""))).toDF("doc_id", "chunk", "text")
+    return docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n|\n"), lambda x: F.trim(x)), lambda p: p != ""))).toDF("doc_id", "chunk", "text")
 
 
 def packed(items: DataFrame, by: str, order: str, size: str, most: int, gap: int = 2) -> DataFrame:

@@ -97,7 +97,7 @@ def resolved(rows: DataFrame) -> DataFrame:
         F.when(h("article").isNull() & (F.size(mentions) > 0), F.lit("inline_article_reference_ignored")),
         F.when(several, F.lit("multiple_article_candidates")),
     ))
-    first = F.get(F.filter(F.transform(F.split("text", r"\r\n|[\n\r]"), F.trim), lambda x: x != ""), F.lit(0))
+    first = F.get(F.filter(F.transform(F.split("text", r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
     title = F.substring(F.regexp_replace(F.regexp_replace(first, r"\s+", " "), "^[ #*]+|[ #*]+$", ""), 1, 240)
     out = df.withColumn("path", path).withColumn("ambiguous", unlike("article") | unlike("chapter") | several).withColumn("warnings", warnings)
     out = out.withColumn("article_key", article_key(F.col("source"), F.col("path.article")))

@@ -98,9 +98,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERIES,
     many, out = max(1, -(-n // block)), None
     for part in range(many):
         rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == part) if many > 1 else asked).collect()
-        ids, q = np.array([r.query_id for r in rows], np.int64), _unit(np.array([r.q for r in rows], np.float64).reshape(len(rows), -1))
-        if not len(ids):
+        if not rows:
             continue
+        ids, q = np.array([r.query_id for r in rows], np.int64), _unit(np.array([r.q for r in rows], np.float64))
         sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
         scored = vectors.where("embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(lambda bs, sent=sent: _nearest(bs, *sent.value, k, self_too), "query_id long, vec_id long, score double")
         out = scored if out is None else out.unionByName(scored)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import strings as S
+from ..functions import text as X
 from ..operators import chunking
 from ..sources import sinks
 from ..sources.tables import table, views
@@ -129,9 +131,20 @@ def a32_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("lang", "doc_id").withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL AND event_id % 5 <> 4")
 def x34_json_payload(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k is not null")
+    """Payloads as they are, in a fence, within prose, and cut-off ones, which have none."""
+    props, n = F.col("props"), F.col("event_id") % 5
+    made = F.when(n == 1, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(n == 2, F.concat(F.lit("Here it is: "), props, F.lit(" as asked"))).when(n == 3, F.concat(F.lit("```\n"), props, F.lit("```"))).when(n == 4, F.substring(props, 1, F.length(props) - 1)).otherwise(props)
+    return table(spark, d, "events").select("event_id", F.get_json_object(X.json_payload(made), "$.k").try_cast("bigint").alias("k")).where("k is not null")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE CASE WHEN event_id % 2 = 0 THEN least(greatest(value / 100, 0), 1) ELSE 0.75 END END AS confidence FROM events")
+def y7_relation_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """By method; a model that says nothing gets its default."""
+    k = F.col("event_id")
+    method = F.when(k % 3 == 0, "metadata").when(k % 3 == 1, "rule").otherwise("model")
+    return table(spark, d, "events").select(k, rules.relation_confidence(method, F.when(k % 2 == 0, F.col("value") / 100)).alias("confidence"))
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

@@ -80,6 +80,18 @@ def z11_method_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(f"""WITH {_hybrid_sql()}{RERANKED}, u AS (SELECT 'bm25' AS method, query_id, rank, doc_id FROM a WHERE query_id IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'dense', query_id, rank, doc_id FROM e UNION ALL SELECT 'hybrid', query_id, rank, doc_id FROM z UNION ALL SELECT 'hybrid_rerank', query_id, new_rank, doc_id FROM rr)
+SELECT query_id, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, count(DISTINCT doc_id) AS documents, count(*) FILTER (rank = 1) AS firsts, count(DISTINCT CASE WHEN rank = 1 THEN doc_id END) AS different_firsts FROM u WHERE rank <= 5 GROUP BY query_id""")
+def z10_four_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Every question under all four methods, without an answer: how many documents they show and whether they agree on the first."""
+    r, asked, out = _retriever(spark, d), _asked(spark, d), None
+    for name in search.METHODS:
+        rows = r.retrieve(name, asked)
+        out = rows if out is None else out.unionByName(rows)
+    first = F.when(F.col("rank") == 1, F.col("doc_id"))
+    return out.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"), F.countDistinct("doc_id").alias("documents"), F.count(first).alias("firsts"), F.countDistinct(first).alias("different_firsts"))
+
+
 @query(f"WITH {_hybrid_sql(GENERAL, SEEN)} SELECT 'bm25' AS method, query_id, rank, doc_id, score FROM a WHERE rank <= 5 AND query_id IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'dense', query_id, rank, doc_id, score FROM e WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, rank, doc_id, score FROM z WHERE rank <= 5")
 def z12_secure_facade(spark: SparkSession, d: str) -> DataFrame:
     """An employee's searches: corpus and vectors are cut down before any method runs."""

@@ -73,7 +73,7 @@ def current(spark: SparkSession, path: str) -> str | None:
 
 
 def csv_out(df: DataFrame, columns: list[str], path: str) -> None:
-    df.select(*columns).write.mode("overwrite").csv(path, header=True)
+    df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def json_out(df: DataFrame, path: str) -> None:

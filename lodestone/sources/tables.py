@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 CHUNK = T.StructType([T.StructField(n, t) for n, t in (("chunk_id", T.StringType()), ("strategy", T.StringType()), ("source", T.StringType()), ("page_start", T.IntegerType()), ("page_end", T.IntegerType()), ("text", T.StringType()))])
 
 
@@ -53,7 +55,7 @@ def secure_corpus(spark: SparkSession, path: str) -> DataFrame:
     df = csv_strings(spark, path)
     if "allowed_roles" not in df.columns:
         raise ValueError("allowed_roles is missing")
-    return unique(df.withColumn("allowed_roles", F.transform(F.split("allowed_roles", ","), F.trim)), "chunk_id")
+    return unique(df.withColumn("allowed_roles", F.transform(F.split("allowed_roles", ","), lambda x: F.trim(x))), "chunk_id")
 
 
 def chunk_faults() -> Column:
@@ -104,7 +106,7 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
 def script_statements(scripts: DataFrame) -> DataFrame:
     """(path, text) to its statements: split on a ; at a line's end, comment lines dropped."""
     bare = F.regexp_replace("text", r"(?m)^\s*//.*$", "")
-    return scripts.select("path", F.posexplode(F.filter(F.transform(F.split(bare, r";\s*(?:\n|$)"), F.trim), lambda s: s != ""))).toDF("path", "n", "statement")
+    return scripts.select("path", F.posexplode(F.filter(F.transform(F.split(bare, r";\s*(?:\n|$)"), X.stripped), lambda s: s != ""))).toDF("path", "n", "statement")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf", only: list[str] | None = None) -> DataFrame:

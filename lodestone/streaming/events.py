@@ -25,14 +25,42 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return watched.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("since"), F.col("session_window.end").alias("until"), "n")
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Each micro-batch is merged into the table at path; a batch that is run again gives the same table."""
+BUCKETS = 16
+
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = BUCKETS):
+    """Each micro-batch is merged into the table at path, which merged() reads; a batch that is run again gives the same rows.
+
+    Rows are dealt to buckets by their keys' hash, and a batch rewrites the buckets that it touches only, under a new version with a list of
+    where each bucket now is.  The version counts when all of it is written.  buckets is the table's own and stays as it was made."""
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-        old = spark.read.schema(batch.schema).parquet(path) if there else batch.limit(0)
-        sinks.staged(sinks.upsert(old, batch, keys, order), path)
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r[0] for r in dealt.select("_bucket").distinct().collect())
+        if not touched:
+            return
+        where = _where(spark, path)
+        old = _read(spark, {k: where[k] for k in touched if k in where}, batch)
+        with sinks.Version(spark, path) as at:
+            new = sinks.upsert(old, batch, keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            new.repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{at}/rows")
+            now = {**where, **{k: f"{at}/rows/_bucket={k}" for k in touched}}
+            spark.createDataFrame(sorted(now.items()), "bucket int, folder string").coalesce(1).write.json(f"{at}/where")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _where(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder of each bucket; there are few."""
+    at = sinks.current(spark, path)
+    return {r.bucket: r.folder for r in spark.read.json(f"{at}/where").collect()} if at else {}
+
+
+def _read(spark: SparkSession, where: dict[int, str], like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(*where.values()) if where else like.limit(0)
+
+
+def merged(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table as of its last complete version, with the columns of `like`."""
+    return _read(spark, _where(spark, path), like)
