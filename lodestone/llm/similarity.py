@@ -210,7 +210,7 @@ def leaves(first: DataFrame, tokens: DataFrame, split: int = SPLIT) -> tuple[Dat
         parted = held.join(rating.where("pays").select("path"), "path", "left_semi")
         if cleft is None:
             cleft = cut(parted.groupBy("sig").agg(F.count("*").alias("k")).join(rooted.select("sig", "r"), "sig"), "cleft", light=True)
-        paths = cut(children(parted, tokens, FANOUT).select("path", "sig").distinct(), "children")
+        paths = cut(children(parted, tokens, FANOUT).select("path", "sig").distinct(), "children", light=True)
         depth += 1
 
 
@@ -229,7 +229,7 @@ def runs(met: DataFrame, tokens: DataFrame, split: int = SPLIT, roots: float = R
             if risks.isEmpty():
                 break
             # A run's number stands for its root.
-            fresh = cut(children(risks.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct(), f"run-{run}")
+            fresh = cut(children(risks.select("sig", F.lit(run).cast("long").alias("path")), tokens, roots).select("path", "sig").distinct(), f"run-{run}", light=True)
             more, depth, cleft = leaves(fresh.join(fresh.groupBy("sig").agg(F.count("*").alias("r")), "sig"), tokens, split)
             found, run = found.unionByName(more), run + 1
         found = tables.keep(cut(found, "found", light=True))
@@ -349,7 +349,7 @@ def links(sets: DataFrame, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
 def _links(sets: DataFrame, split: int, block: int) -> DataFrame:
     named = sets.where("sig is not null")
     counts = named.groupBy("sig").agg(F.count("*").alias("copies"))
-    met = cut(named.where(F.col("n") >= LEAST).select("sig", F.size("roots").alias("r"), F.explode("roots").alias("path")).distinct(), "paths")
+    met = cut(named.where(F.col("n") >= LEAST).select("sig", F.size("roots").alias("r"), F.explode("roots").alias("path")).distinct(), "paths", light=True)
     # A set finds four fifths of its sampled tokens, on average, in any set that is similar enough.  Sets that meet others at fewer
     # than COMPANY of theirs leave before tokens are fetched, twice, as sets leave; see lost_to_company().
     for _ in range(2):
@@ -360,7 +360,7 @@ def _links(sets: DataFrame, split: int, block: int) -> DataFrame:
     # One row of each set that meets another, with its tokens.
     wanted = met.select("sig").distinct()
     tokens = cut(named.join(wanted, "sig", "left_semi").select("sig", "n", "tokens").dropDuplicates(["sig"]).join(counts, "sig"), "tokens")
-    leaf = cut(runs(met, tokens.select("sig", "tokens"), split), "leaves")
+    leaf = cut(runs(met, tokens.select("sig", "tokens"), split), "leaves", light=True)
     volume = leaf.join(tokens.select("sig", "n"), "sig").groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     # Blocks grow with a bucket, so that a set isn't sent once for every 2048 others.
     g = F.greatest(F.least(F.ceil(F.col("m") / block), F.lit(32)), F.ceil(F.col("m") / (8 * block)), F.ceil(F.col("t") / VOLUME))
