@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from ..operators import graph
+from ..operators import graph, search
 from ..sources import sinks
 from ..sources.tables import table
 from .registry import query
@@ -203,3 +203,17 @@ def f23_alias_rows(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z]?[a-z]{6,}"), 0)).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     e = g.groupBy(F.lower("form").alias("key")).agg(F.max(F.struct("n", "form"))["form"].alias("canonical"), F.array_join(F.array_sort(F.collect_set("form")), " | ").alias("forms"))
     return e.where(F.contains("forms", F.lit(" | ")) | (F.col("forms") != F.col("canonical")))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, v AS (SELECT 'n' || n_nationkey AS node, round(CASE WHEN n_nationkey % 2 = 0 THEN 0.85 ELSE 0.9 - n_nationkey / 100.0 END, 6) AS score FROM nation WHERE n_nationkey < 6),
+t AS (SELECT node, node AS seed, 0 AS hops FROM v UNION SELECT b.dst, seed, hops + 1 FROM t JOIN b ON node = b.src WHERE hops < 2), h AS (SELECT node, min(hops) AS hops FROM t WHERE hops > 0 AND node <> seed GROUP BY node)
+SELECT node, origin, score, row_number() OVER (ORDER BY score DESC, origin = 'vector' DESC, node) AS place FROM (SELECT node, 'vector' AS origin, score FROM v UNION ALL SELECT node, 'hop', round(pow(0.85, hops), 6) FROM h WHERE node NOT IN (SELECT node FROM v))""")
+def t12_hop_order(spark: SparkSession, d: str) -> DataFrame:
+    """Vector hits and what two hops add to them, by score, at equal scores vector hits first."""
+    k = F.col("n_nationkey")
+    score = F.round(F.when(k % 2 == 0, F.lit(0.85)).otherwise(0.9 - k / 100.0), 6)
+    seeds = table(spark, d, "nation").where(k < 6).select(F.concat(F.lit("n"), k).alias("node"), score.alias("score"))
+    far = graph.distances(_edges(spark, d), seeds.select(F.col("node").alias("id")), 2).groupBy("node").agg(F.min("hops").alias("hops"))
+    rows = graph.seeded(seeds, far.withColumn("score", F.round(F.pow(F.lit(0.85), F.col("hops")), 6)))
+    out = rows.select("node", F.when(F.col("is_seed"), "vector").otherwise("hop").alias("origin"), "score")
+    return search.numbered(out, [F.desc("score"), F.asc(F.when(F.col("origin") == "vector", 0).otherwise(1)), F.asc("node")], "place")

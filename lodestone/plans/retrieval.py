@@ -65,6 +65,24 @@ def z6_hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _retriever(spark, d).hybrid_rerank(_asked(spark, d), 5)
 
 
+GATES = ("semantic", "bm25", "hybrid", "hybrid_rerank")
+GATED = "SELECT '{m}' AS mode, query_id, doc_id, {test} AS accepted, CASE WHEN {test} THEN 'E' || row_number() OVER (PARTITION BY query_id, {test} ORDER BY rank) END AS label FROM g"
+PASSED = {m: "coalesce(rerank_score >= 0.5, false)" if m == "hybrid_rerank" else "coalesce(distance <= 0.8, false)" for m in GATES}
+
+
+@query(f"WITH {_hybrid_sql()}{RERANKED}, g AS (SELECT rr.query_id, rr.doc_id, rr.rank, rr.rerank_score, round(1 - e.score, 6) AS distance FROM rr LEFT JOIN e USING (query_id, doc_id)) {' UNION ALL '.join(GATED.format(m=m, test=t) for m, t in PASSED.items())}")
+def f6_gate_all_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty best fused through the gate of each mode; a hit of the lexical branch alone has no distance and isn't accepted by it."""
+    r, asked = _retriever(spark, d), _asked(spark, d)
+    near = r.dense(asked, 20).select("query_id", "doc_id", F.round(1 - F.col("score"), 6).alias("distance"))
+    hits = r.hybrid_rerank(asked, 20).select("query_id", "doc_id", F.col("hybrid_rank").alias("rank"), F.col("score").alias("rerank_score")).join(near, ["query_id", "doc_id"], "left")
+    out = None
+    for mode in GATES:
+        rows = search.gate(hits, mode, 0.8, 0.5).select(F.lit(mode).alias("mode"), "query_id", "doc_id", "accepted", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 BLANK = "UNION ALL SELECT '{m}', -1, NULL, NULL, NULL, 'empty query'"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,14 @@ def current(spark: SparkSession, path: str) -> str | None:
     return f"{path}/{names[-1]}" if names else None
 
 
+def reused(spark: SparkSession, path: str, n: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows kept at path if there are n of them, as a set of questions is made once by a model; else made, kept and read back."""
+    if exists(spark, f"{path}/_SUCCESS") and spark.read.parquet(path).count() == n:
+        return spark.read.parquet(path)
+    staged(make(), path)
+    return spark.read.parquet(path)
+
+
 def csv_out(df: DataFrame, columns: list[str], path: str) -> None:
     df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
 

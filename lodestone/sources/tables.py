@@ -103,6 +103,13 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), "length")
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change) of files whose fingerprints() differ: added, removed or changed; none where a step left its sources as they were."""
+    a, b = before.select("path", F.col("sha256").alias("a")), after.select("path", F.col("sha256").alias("b"))
+    what = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return a.join(b, "path", "full").select("path", what.alias("change")).where("change is not null")
+
+
 def script_statements(scripts: DataFrame) -> DataFrame:
     """(path, text) to its statements: split on a ; at a line's end, comment lines dropped."""
     bare = F.regexp_replace("text", r"(?m)^\s*//.*$", "")

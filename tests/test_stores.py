@@ -64,6 +64,21 @@ def test_staged_tables_survive_a_crash(spark, tmp_path):
     assert spark.read.parquet(path).count() == 7 and not (tmp_path / "t.old").exists()
 
 
+def test_rows_are_reused_and_sources_watched(spark, tmp_path):
+    made = []
+    make = lambda: made.append(1) or spark.range(4)
+    assert [sinks.reused(spark, str(tmp_path / "g"), n, make).count() for n in (4, 4, 5)] == [4, 4, 4] and len(made) == 2
+    for name in "abc":
+        (tmp_path / f"{name}.txt").write_text(name)
+    before = tables.settled(tables.fingerprints(spark, str(tmp_path / "*.txt")))
+    assert tables.changes(before, tables.fingerprints(spark, str(tmp_path / "*.txt"))).count() == 0
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "b.txt").unlink()
+    (tmp_path / "d.txt").write_text("d")
+    after = tables.fingerprints(spark, str(tmp_path / "*.txt"))
+    assert {(r.path.split("/")[-1], r.change) for r in tables.changes(before, after).collect()} == {("a.txt", "changed"), ("b.txt", "removed"), ("d.txt", "added")}
+
+
 def test_versions_are_whole_or_not_there(spark, tmp_path):
     path = str(tmp_path / "v")
     assert sinks.current(spark, path) is None
