@@ -8,7 +8,9 @@ its content alone decides.  Windows in a row with one anchor are a run and trave
    the first of equal runs before dealing, so common text is folded early.
 2. The first of each sort of run whose anchor has several sorts may still share windows with the others.  Their bytes are
    fetched, and all their windows are sorted by digits of eight bytes, groups of one leaving after each pass.
-3. The repeated windows of each document are joined to its text.
+3. An anchor with more than MANY sorts of runs, as a line has that stands in very many texts, is no task of its own: its windows
+   are dealt out by all their digits at once, as two hashes, and the first of equal ones is found by a partial aggregation.
+4. The repeated windows of each document are joined to its text.
 
 Order is by (doc_id, start), a null id before all others; rows under one id count as one document, and rows repeated with their
 text each get the same result.  Null and empty texts have no bytes.  Texts under 100 bytes keep all.  Very long texts are hashed in
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, cut, mix, table, utf8
-from .decontaminate import _powers
+from .decontaminate import _powers, _ranges
 
 WIDTH = 100
 GRAM = 16
 SPAN = WIDTH - GRAM + 1  # anchors that a window can have
 SEGMENT = 1 << 20
 HELD = 1 << 21  # runs folded at once
+MANY = 2048  # sorts of runs that one task sorts the windows of
+FEW = 1 << 16  # anchors with more that are sent to the tasks; beyond, they are joined
 LEAST = -(2**63)
 
 
@@ -76,6 +80,13 @@ class Runs:
         return grams[anchor[first]].view(np.int64), content.view(np.int64), text[first], s - edges[text[first]], n
 
 
+    def windows(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of each window that begins at one of the places; data is at most a segment."""
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.random[data] * self.up[: len(data)], out=sums[1:])
+        return mix(mix((sums[at + WIDTH] - sums[at]) * self.down[at], 7), 8).view(np.int64)
+
+
 def _segments(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """First text, text after the last, first and last byte: whole texts, or parts of a long one that overlap by a window less one."""
     i, n = 0, len(offsets) - 1
@@ -198,10 +209,31 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i, (doc, t, runs) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
                 base = offsets[i]
-                rows += [(r["h"], doc, t, r["start"], data[base + r["start"] : base + r["start"] + r["n"] + WIDTH - 1].tobytes()) for r in runs]
+                rows += [(r["h"], doc, t, r["start"], data[base + r["start"] : base + r["start"] + r["n"] + WIDTH - 1].tobytes()) for r in runs if not r["hot"]]
             yield batch(out, **dict(zip(out.names, zip(*rows) if rows else [[]] * 5)))
 
 
+DEALT = pa.schema([("k", pa.int64()), ("l", pa.int64()), ("doc", pa.int64()), ("t", pa.int32()), ("start", pa.int32())])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, t, text, runs to one row a window of the runs of anchors with very many, with two hashes of its bytes."""
+    made = Runs(23), Runs(29)
+    for whole in batches:
+        for at in range(0, len(whole), 512):
+            b = whole.slice(at, 512)
+            offsets, data = utf8(b.column(2))
+            for i, (doc, t, runs) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
+                hot = [r for r in runs if r["hot"]]
+                for k in range(0, len(hot), SEGMENT // (SPAN + WIDTH)):
+                    some = hot[k : k + SEGMENT // (SPAN + WIDTH)]
+                    n, start = np.array([r["n"] for r in some]), np.array([r["start"] for r in some])
+                    part = np.concatenate([data[offsets[i] + r["start"] : offsets[i] + r["start"] + r["n"] + WIDTH - 1] for r in some])
+                    places = _ranges(np.cumsum(n + WIDTH - 1) - n - WIDTH + 1, n)
+                    first, second = (m.windows(part, places) for m in made)
+                    yield batch(DEALT, k=first, l=second, doc=[doc] * len(places), t=[t] * len(places), start=_ranges(start, n).astype(np.int32))
+
+
 def repeated_windows(group: np.ndarray, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of data (padded by 8 bytes), by start, that are equal to another of their group: their numbers in order of content, and
     the number of each one's equals.  Most-significant digits of eight bytes; groups of one leave after each pass."""
@@ -292,22 +324,40 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(OUT, **dict(zip(OUT.names, zip(*rows) if rows else [[]] * 5)))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def _flagged(runs: DataFrame, many: int) -> tuple[DataFrame, bool]:
+    """The runs that are to be compared, with whether their anchor has more than `many`, and whether there is such an anchor."""
+    hot = cut(runs.groupBy("h").agg(F.count("*").alias("n_runs")).where(F.col("n_runs") > many).select("h"), "anchors", light=True)
+    n = hot.count()
+    if not n:
+        return runs.withColumn("hot", F.lit(False)), False
+    marked = hot.withColumn("hot", F.lit(True))
+    return runs.join(F.broadcast(marked) if n <= FEW else marked, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), True
+
+
+def repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     """(doc, t, start, n): runs of repeated windows; docs has doc, t and text."""
     runs = docs.where(F.octet_length("text") >= WIDTH).select("doc", "t", "text").mapInArrow(_runs, "h long, c long, doc long, t int, start int, n int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.repartition(parts, "h").sortWithinPartitions("h", "c", "doc", "start")
     found = cut(dealt.mapInArrow(_resolved, "h long, doc long, t int, start int, n int"), "runs")
-    open_runs = found.where("h is not null").groupBy("doc", "t").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
-    held = docs.join(open_runs, ["doc", "t"]).select("doc", "t", "text", "runs").mapInArrow(_fetched, "h long, doc long, t int, start int, bytes binary")
-    compared = held.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_windows, "h long, doc long, t int, start int, n int")
-    return found.where("h is null").unionByName(cut(compared, "windows")).drop("h")
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
+    marked, any_hot = _flagged(found.where("h is not null"), many)
+    open_runs = marked.groupBy("doc", "t").agg(F.collect_list(F.struct("h", "start", "n", "hot")).alias("runs"))
+    held = docs.join(open_runs, ["doc", "t"]).select("doc", "t", "text", "runs")
+    fetched = held.mapInArrow(_fetched, "h long, doc long, t int, start int, bytes binary")
+    compared = fetched.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_windows, "h long, doc long, t int, start int, n int")
+    out = found.where("h is null").unionByName(cut(compared, "windows")).drop("h")
+    if not any_hot:
+        return out
+    windows = cut(held.mapInArrow(_dealt, "k long, l long, doc long, t int, start int"), "dealt")
+    first = windows.groupBy("k", "l").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("k", "l", "first")
+    later = windows.join(first, ["k", "l"]).where(F.struct("doc", "start") != F.col("first"))
+    return out.unionByName(later.select("doc", "t", "start", F.lit(1).alias("n")))
+
+
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """One row a document: bytes, bytes and stretches removed, and the digest of what is kept."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), F.hash("text").alias("t"), "text")
-    gone = repeats(keyed).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    gone = repeats(keyed, **how).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return keyed.join(gone, ["doc", "t"], "left").select("doc_id", "text", "runs").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -304,8 +304,9 @@ def test_long_words_and_shards(monkeypatch):
     assert (np.unique(small[2], return_inverse=True)[1] == np.unique(whole[2], return_inverse=True)[1]).all()
 
 
-def test_suffix_dedup(odd, docs):
-    for rows, got in ((texts(docs), suffixes.deduplicated(docs).collect()), ([r[:2] for r in ODD], suffixes.deduplicated(odd).collect())):
+@pytest.mark.parametrize("many", [suffixes.MANY, 0, 2])
+def test_suffix_dedup(odd, docs, many):
+    for rows, got in ((texts(docs), suffixes.deduplicated(docs, many=many).collect()), ([r[:2] for r in ODD], suffixes.deduplicated(odd, many=many).collect())):
         first = {}
         for i, t in rows:
             raw = (t or "").encode()
