@@ -36,11 +36,6 @@ def x3_graph_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.tokens_graph(F.col("text")), " ").alias("tokens"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '[ .,;:]+$', '')) AS md5 FROM documents")
-def x6_normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(S.plain_name(F.col("text"))).alias("md5"))
-
-
 @query(f"SELECT doc_id, md5(lower(translate('Điều ế ' || text, '{S.MARKED}', '{S.PLAIN}'))) AS md5 FROM documents")
 def x7_fold_marks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(S.folded(F.concat(F.lit("Điều ế "), "text"))).alias("md5"))

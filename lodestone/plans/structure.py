@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import strings as S
 from ..functions import text as X
 from ..operators import html, structure
 from ..sources.tables import table
@@ -34,6 +35,12 @@ def x5_compact_spaces(spark: SparkSession, d: str) -> DataFrame:
     return _loose(spark, d).select("doc_id", F.md5(X.compact_spaces(X.nfc(F.col("text")))).alias("md5"))
 
 
+@query(rf"SELECT doc_id, md5(regexp_replace(trim(regexp_replace(nfc_normalize({LOOSE}), '[ \t\r\n]+', ' ', 'g')), '[ .,;:]+$', '')) AS md5 FROM documents")
+def x6_normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    """Composed, blanks in a row as one, nothing after the last word."""
+    return _loose(spark, d).select("doc_id", F.md5(S.plain_name(X.nfc(F.col("text")))).alias("md5"))
+
+
 # Legal headings put before the lines of a text, by their place.
 MARKS = ("Chương ", "Mục ", "Điều ", "", "a) ", "", "**Điều ", "", "")
 LEGAL = """list_transform(string_split(text, chr(10)), lambda l, i: CASE (i - 1) % 9 WHEN 0 THEN 'Chương ' || i || '. ' || l WHEN 1 THEN 'Mục ' || i || ' ' || l
