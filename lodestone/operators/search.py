@@ -72,8 +72,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as a matrix; null where one is missing."""
-    return np.array(column.to_pylist(), np.float64) if len(column) else np.zeros((0, 0))
+    """Vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, self_too: bool) -> Iterator[pa.RecordBatch]:
