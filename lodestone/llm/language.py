@@ -45,7 +45,7 @@ class Grams:
         self.dim, self.seed = dim, seed
         self.codes, self.letters = np.zeros(0, np.int64), np.zeros((3, 0, dim), np.int8)
         self.keys, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.known = np.zeros((ROWS, dim), np.float32)
+        self.known = np.zeros((ROWS, dim), np.int8)
 
     @staticmethod
     def of(texts: Iterable) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,7 +103,7 @@ class Grams:
             if k is None:
                 self.hold(g)
                 k = self._at(g)
-            out += c.astype(np.float32) @ self.known[k]
+            out += c.astype(np.float32) @ self.known.take(k, axis=0).astype(np.float32)
         return out
 
     def _at(self, grams: np.ndarray) -> np.ndarray | None:
