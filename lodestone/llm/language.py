@@ -103,7 +103,8 @@ class Grams:
             if k is None:
                 self.hold(g)
                 k = self._at(g)
-            out += c.astype(np.float32) @ self.known.take(k, axis=0).astype(np.float32)
+            # Not @: its threads would wait busily in every one of an executor's workers.
+            out += np.einsum("i,ij->j", c.astype(np.float32), self.known.take(k, axis=0).astype(np.float32))
         return out
 
     def _at(self, grams: np.ndarray) -> np.ndarray | None:
