@@ -144,18 +144,23 @@ def children(held: DataFrame, tokens: DataFrame, expected: float) -> DataFrame:
     return made.select("parent", "sig", F.explode("kids").alias("path"))
 
 
-def shared_tokens(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many tokens each set of a has in common with each of b."""
-    out = np.zeros((len(a), len(b)), np.float32)
-    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    ta, tb = np.concatenate([*a, np.zeros(0, np.int32)]), np.concatenate([*b, np.zeros(0, np.int32)])
-    both = np.intersect1d(ta, tb)
+def shared_tokens(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many tokens each set of a has in common with each of b; without b, with each other of a (the diagonal means nothing)."""
+    other = a if b is None else b
+    out = np.zeros((len(a), len(other)), np.float32)
+    ra, ta = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.concatenate([*a, np.zeros(0, np.int32)])
+    if b is None:
+        both, n = np.unique(ta, return_counts=True)
+        both, rb, tb = both[n > 1], ra, ta
+    else:
+        rb, tb = np.repeat(np.arange(len(b)), [len(x) for x in b]), np.concatenate([*b, np.zeros(0, np.int32)])
+        both = np.intersect1d(ta, tb)
     ka, kb = np.isin(ta, both), np.isin(tb, both)
     ra, rb, ta, tb = ra[ka], rb[kb], np.searchsorted(both, ta[ka]), np.searchsorted(both, tb[kb])
     oa, ob = np.argsort(ta, kind="stable"), np.argsort(tb, kind="stable")
     ra, ta, rb, tb = ra[oa], ta[oa], rb[ob], tb[ob]
     for lo in range(0, len(both), 2048):
-        x, y = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+        x, y = np.zeros((len(a), 2048), np.float32), np.zeros((len(other), 2048), np.float32)
         s, e = np.searchsorted(ta, [lo, lo + 2048])
         x[ra[s:e], ta[s:e] - lo] = 1
         s, e = np.searchsorted(tb, [lo, lo + 2048])
@@ -164,17 +169,20 @@ def shared_tokens(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Which sets of a are similar enough to which of b."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    return (NUM + DEN) * shared_tokens(a, b) >= NUM * (na[:, None] + nb[None, :])
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets of a are similar enough to which of b, or of a; none to itself."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in (a if b is None else b)])
+    link = (NUM + DEN) * shared_tokens(a, b) >= NUM * (na[:, None] + nb[None, :])
+    if b is None:
+        np.fill_diagonal(link, False)
+    return link
 
 
 def _rate(f: pd.DataFrame) -> pd.DataFrame:
     """How many children two of a bucket's sampled sets share, on average, by their roots but for the one that brought them here."""
     roots, m = [np.asarray(x, np.int64) for x in f["roots"]], len(f)
     n = f["r"].to_numpy(np.float64)
-    meet = FANOUT * np.maximum(shared_tokens(roots, roots) - 1, 0) / np.maximum(np.maximum(n[:, None], n[None, :]) - 1, 1)
+    meet = FANOUT * np.maximum(shared_tokens(roots) - 1, 0) / np.maximum(np.maximum(n[:, None], n[None, :]) - 1, 1)
     np.fill_diagonal(meet, 0)
     return pd.DataFrame({"path": f["path"].iloc[:1], "meet": [float(meet.sum() / max(1, m * (m - 1)))]})
 
@@ -286,9 +294,7 @@ def _block(path: int, cross: int, tokens: list[np.ndarray], leaves_: list[np.nda
     for p, a in enumerate(rows):
         for b in columns if cross else columns[p:]:
             same = a[0] == b[0]
-            link = linked([tokens[i] for i in a], [tokens[i] for i in b])
-            if same:
-                np.fill_diagonal(link, False)
+            link = linked([tokens[i] for i in a], None if same else [tokens[i] for i in b])
             for members in met if link.any() else ():
                 x, y = members[(members >= a[0]) & (members <= a[-1])], members[(members >= b[0]) & (members <= b[-1])]
                 if len(x) and len(y):
