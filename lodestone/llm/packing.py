@@ -26,6 +26,7 @@ from .common import batch, cut, table
 
 SIZE = 1024
 END = 2
+HELD = 300_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,7 +39,7 @@ class Ids(dict):
     others are encoded whole.  A special token's name in a text is that token, and parts the text, as the tokenizers library has it.
     """
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = HELD):
         import tiktoken
 
         from tokenizers import Tokenizer
@@ -98,8 +99,8 @@ def _ranks(tokenizer) -> dict[bytes, int]:
     return {bytes(of_char[c] for c in k): v for k, v in tokenizer.get_vocab().items() if k not in special}
 
 
-def _cut_up(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    ids, end = Ids(vocabulary), np.array([END], "<u4").tobytes()
+def _cut_up(batches: Iterator[pa.RecordBatch], vocabulary: str, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    ids, end = Ids(vocabulary, held), np.array([END], "<u4").tobytes()
     for b in batches:
         rows: list[tuple] = []
         for key, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -110,13 +111,14 @@ def _cut_up(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
         yield batch(PIECES, **dict(zip(PIECES.names, zip(*rows) if rows else [[]] * 5)))
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of every text, in order: only the first may be shorter than 1024 ids."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, held: int = HELD) -> DataFrame:
+    """Pieces of every text, in order: only the first may be shorter than 1024 ids.  held: encoded stretches that a task keeps, of about
+    200 bytes each; more cost memory and save time."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(lambda bs: _cut_up(bs, vocabulary), DDL)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(lambda bs: _cut_up(bs, vocabulary, held), DDL)
 
 
 def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
@@ -200,4 +202,4 @@ def pack(cut_up: DataFrame, part_items: int = 16_384, rounds: int = 3) -> DataFr
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(cut(pieces(table(spark, sf_dir, "documents")), "pieces"))
+    return pack(cut(pieces(table(spark, sf_dir, "documents"), held=2 * HELD), "pieces"))
